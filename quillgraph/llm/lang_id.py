@@ -16,6 +16,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from .common import text_or_empty
@@ -230,9 +231,10 @@ def lang_id(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
     if keep:
-        shape = docs.withColumn("__body", F.col(text_col).cast("string"))
-        out = shape.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in shape.schema) + ", __lang string, __score double")
-        return out.drop("__body")
+        plain = [f"__c{k}" for k in range(len(docs.columns))]  # the columns' own names may hold dots
+        shape = docs.withColumn("__body", F.col(text_col).cast("string")).toDF(*plain, "__body")
+        schema = StructType([*shape.schema.fields, StructField("__lang", StringType()), StructField("__score", DoubleType())])
+        return shape.mapInArrow(run, schema).drop("__body").toDF(*docs.columns, "__lang", "__score")
     body = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out_rule(id_col).alias("held_out"), F.col(text_col).cast("string").alias("__body"))
     out = body.mapInArrow(run, "doc_id long, held_out boolean, __lang string, __score double")
     return out.select("doc_id", "held_out", F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"))
