@@ -5,6 +5,10 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+import zstandard
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,13 +37,35 @@ def _remove(spark: SparkSession, path: str) -> None:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet under the shared folder and read it back: lineage is cut, and lost executors lose nothing.
 
-    The files go when the Python driver ends.
+    The files go with ``discard``, or when the Python driver ends. The JVM is asked to collect its garbage, since shuffle
+    files of what has been written stay until it does.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillgraph-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._materialized = path
+    spark.sparkContext._jvm.System.gc()
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove the files of materialized tables of which nothing more is read."""
+    for df in tables:
+        _remove(df.sparkSession, df._materialized)
+
+
+def compressed(df: DataFrame, column: str = "body") -> DataFrame:
+    """``df`` with a binary column compressed, as texts are moved; equal values stay equal and others different."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z = zstandard.ZstdCompressor(level=1)
+        for b in batches:
+            k = b.schema.names.index(column)
+            yield b.set_column(k, column, pa.array([z.compress(x.as_py()) for x in b.column(k)], pa.binary()))
+
+    return df.mapInArrow(run, df.schema)
 
 
 def text_or_empty(column: str):

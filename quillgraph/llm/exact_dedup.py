@@ -4,7 +4,8 @@ Rows are in one of two sets: the snapshot (kept from earlier batches) and the in
 whole text, so equal rows of one batch meet without any filter, and a text that a third of the rows share is
 pre-aggregated before the shuffle. The snapshot's digests are dealt into buckets of about ``bucket_keys`` keys, with one
 3-wise binary-fuse filter each (about 1.13 bytes a key, false positives 1/256). Incoming digests are probed against
-their bucket's filter; only positives are joined to the exact groups, where whole texts are compared.
+their bucket's filter; only positives are joined to the exact groups, where whole texts are compared. Texts are moved and
+compared in compressed form, which is equal exactly for equal texts.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_or_empty
+from .common import compressed, discard, materialize, text_or_empty
 
 BUCKET_KEYS = 200_000
 
@@ -129,17 +130,19 @@ def exact_dedup(docs: DataFrame, snapshot: Column | None = None, id_col: str = "
         snapshot = F.pmod(F.xxhash64(F.col(id_col)), F.lit(2)) == 0
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("body"), F.coalesce(snapshot, F.lit(False)).alias("old"))
     rows = rows.withColumn("digest", F.sha2("body", 256))
-    groups = materialize(rows.groupBy("old", "digest", "body").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("top")), "exact-groups")
+    packed = compressed(rows.select("doc_id", F.col("body").cast("binary").alias("body"), "old", "digest"))
+    groups = materialize(packed.groupBy("old", "digest", "body").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("top")), "exact-groups")
     old, new = groups.where("old").drop("old"), groups.where("not old").drop("old")
     buckets = max(1, -(-old.count() // bucket_keys))
     filters = build_filters(old.select("digest"), buckets)
     positive = materialize(screen(new.select("digest"), filters, buckets), "exact-positive")
-    known = new.join(positive, "digest", "left_semi").select("digest", F.col("body").alias("new_body"), F.col("n").alias("new_n"), F.col("top").alias("new_top"))
+    known = new.join(positive.hint("merge"), "digest", "left_semi").select("digest", F.col("body").alias("new_body"), F.col("n").alias("new_n"), F.col("top").alias("new_top"))
     same = F.when(F.col("body") == F.col("new_body"), F.lit(True)).otherwise(F.raise_error(F.lit("two texts have one SHA-256 digest")).cast("boolean"))
-    matched = known.join(old, "digest").where(same).select("digest", (F.col("n") + F.col("new_n")).alias("n"), F.greatest("top", "new_top").alias("top"))
+    matched = known.hint("merge").join(old, "digest").where(same).select("digest", (F.col("n") + F.col("new_n")).alias("n"), F.greatest("top", "new_top").alias("top"))
     matched = materialize(matched, "exact-matched")
     alone = [x.select("digest", "n", "top").join(matched.select("digest"), "digest", "left_anti") for x in (old, new)]
-    merged = matched.unionByName(alone[0]).unionByName(alone[1])
+    merged = materialize(matched.unionByName(alone[0]).unionByName(alone[1]), "exact-merged")
+    discard(groups, positive, matched)
     out = rows.select("doc_id", "digest").join(merged, "digest")
     return out.select(
         "doc_id", F.col("top").alias("keep_id"), F.col("n").alias("group_size"), F.coalesce(F.col("doc_id") == F.col("top"), F.lit(False)).alias("kept"), F.col("digest").alias("text_sha256")
