@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_or_empty
+from .common import discard, materialize, text_or_empty
 
 LENGTH, GRAM, SYMBOL = 200, 32, 40
 #: Bytes hashed at once; segments a bucket aims at, most classes of one anchor in it, and segments a shard.
@@ -269,20 +269,25 @@ def _merge_bucket(length: int):
 
 def covered_ranges(docs: DataFrame, length: int = LENGTH, bucket: int = BUCKET, most: int = MOST) -> DataFrame:
     """``doc_id, t, ranges``: byte ranges of texts in ``doc_id, body`` that strings of ``length`` bytes found elsewhere cover."""
-    anchors = materialize(find_anchors(docs, length), "anchors")
-    classes = anchors.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "t", "start", "span", "offset")).alias("at"))
-    by_anchor = classes.groupBy("h").agg(F.sum("n").alias("times"), F.count(F.lit(1)).alias("classes"), F.min("c").alias("c"), F.min("at.span").alias("span"))
+    every = materialize(find_anchors(docs, length), "anchors")
+    by_anchor = every.groupBy("h").agg(F.count(F.lit(1)).alias("times"), F.min("c").alias("c"), F.max("c").alias("other"), F.min("span").alias("span"))
     by_anchor = materialize(by_anchor.where("times > 1"), "repeated-anchors")
-    settled = by_anchor.where("classes = 1").select("h", "c", F.array(F.lit(0), F.col("span")).alias("covered"))
-    open_ = by_anchor.where("classes > 1").select("h", "classes")
-    wanted = classes.join(open_, "h").select("h", "c", "n", "at.*", "classes")
-    fetched = materialize(_fetch(wanted.drop("classes"), docs).join(open_, "h"), "segments")
+    anchors = materialize(every.join(by_anchor.select("h", (F.col("c") != F.col("other")).alias("open")).hint("merge"), "h"), "repeats")
+    discard(every)
+    # one class alone: all its windows are repeated, as it occurs twice or more
+    settled = by_anchor.where("c = other").select("h", "c", F.array(F.lit(0), F.col("span")).alias("covered"))
+    classes = anchors.where("open").groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "t", "start", "span", "offset")).alias("at"))
+    classes = materialize(classes.select("h", "c", "n", "at.*"), "classes")
+    of_anchor = classes.groupBy("h").agg(F.count(F.lit(1)).alias("classes"))
+    fetched = materialize(_fetch(classes, docs).join(of_anchor, "h"), "segments")
+    discard(classes)
     buckets = max(1, -(-fetched.count() // bucket))
     dealt = fetched.where(F.col("classes") <= most).select("h", "c", "n", "seg", F.pmod(F.xxhash64("h"), F.lit(buckets)).alias("bucket"))
     merged = dealt.groupBy("bucket").applyInPandas(_merge_bucket(length), "h long, c long, covered array<int>")
     crowded = _crowded(fetched.where(F.col("classes") > most).dropDuplicates(["h", "c"]), length)
-    covered = settled.unionByName(merged).unionByName(crowded)
-    found = anchors.select("h", "c", "doc_id", "t", "start").join(covered, ["h", "c"])
+    covered = materialize(settled.unionByName(merged).unionByName(crowded), "covered")
+    discard(fetched)
+    found = anchors.select("h", "c", "doc_id", "t", "start").join(covered.hint("merge"), ["h", "c"])
     return found.groupBy("doc_id", "t").agg(F.collect_list(F.struct("start", "covered")).alias("ranges"))  # at most a document's own
 
 
