@@ -1,0 +1,50 @@
+"""Registered queries against their SQL on the smallest tables."""
+
+from __future__ import annotations
+
+import os
+
+import duckdb
+import pytest
+
+from quillgraph import triplify
+from quillgraph.queries import ORACLES, QUERIES
+
+DIR = "/root/testdata/sf0.001"
+TABLES = ("part", "lineitem", "orders", "events", "documents", "pages")
+pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="the tables are not here")
+
+
+@pytest.fixture(scope="module")
+def sql():
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{DIR}/{t}.parquet')")
+    return con
+
+
+def same(df, rows, columns):
+    order = sorted(columns)
+    assert sorted(df.columns) == order
+    plain = lambda x: round(x, 9) if isinstance(x, float) else x
+    key = lambda row: tuple((x is None, str(x)) for x in row)
+    left = sorted((tuple(plain(r[c]) for c in order) for r in df.collect()), key=key)
+    right = sorted((tuple(plain(r[columns.index(c)]) for c in order) for r in rows), key=key)
+    assert left == right and left
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_query(spark, sql, name):
+    out = sql.execute(ORACLES[name])
+    columns = [d[0] for d in out.description]
+    same(QUERIES[name](spark, DIR), out.fetchall(), columns)
+
+
+def test_triplify_reads_only_what_it_needs(spark):
+    plan = triplify.triples(spark, DIR)._jdf.queryExecution().toString()
+    assert "l_extendedprice" not in plan.split("== Physical Plan ==")[1] and plan.split("== Physical Plan ==")[1].count("FileScan") == 2
+
+
+@pytest.mark.parametrize("name", ["search_english", "frame_documents", "save_pipeline"])
+def test_rows(spark, name):
+    assert QUERIES[name](spark, DIR).count() > 0
