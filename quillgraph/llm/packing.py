@@ -7,8 +7,10 @@ the smallest piece's room, best.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,63 +25,108 @@ from pyspark import TaskContext
 from .common import materialize, text_or_empty
 
 LENGTH, SHARD, END_ID = 4096, 20_000, 1
-CACHE = 200_000
-_SPACE = re.compile(r"[ \t\n\r]+")
+#: Words whose ids a worker keeps, the length up to which they outlast a full cache and are kept at all; characters looked up at once.
+CACHE, KEPT_LENGTH, LONGEST_KEPT, GROUP = 250_000, 6, 64, 1 << 20
+
+
+_BREAK = re.compile(r"[ \t\n\r]")
+_PLAIN = re.compile("[a-zß-öø-ÿ]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """Latin-1 letters as the vocabulary writes their UTF-8 bytes: printable bytes as they are, others from code 256 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = (b for b in range(256) if b not in printable)
+    letter = {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(rest)}
+    return {c: "".join(letter[b] for b in chr(c).encode()) for c in range(128, 256)}
+
+
+_PLAIN_BYTES = _byte_letters()
+#: A full stop or comma before a break and not after a letter or digit.
+_RUN = re.compile("[.,](?<![a-z0-9ß-öø-ÿ][.,]) ")
 
 
 @lru_cache(maxsize=1)
 def load(path: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism; idle threads would only spin
     from tokenizers import Tokenizer
 
     return Tokenizer.from_file(path)
 
 
-class Encoder:
+def parts(text: str) -> Iterator[str]:
+    """A text in parts of about ``GROUP`` characters that end before a break."""
+    at = 0
+    while at < len(text):
+        m = _BREAK.search(text, at + GROUP)
+        yield text[at : m.start() if m else len(text)]
+        at = m.start() if m else len(text)
+
+
+def split(text: str) -> list[str]:
+    """Parts of a text whose ids are those of the text when joined; empty strings included.
+
+    Parts stand between spaces, tabs and line breaks. In Latin-1 texts, where lower case and composition don't depend on
+    what is around, capitals are lowered as the vocabulary does it, so that a word has one form, and a full stop or comma after a
+    letter or digit and before a break is a part of its own, unless the text has such a sign after another sign anywhere.
+    """
+    text = text.replace("\n", " ").replace("\t", " ").replace("\r", " ")
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text.split(" ")
+    text = text.lower()
+    if not _RUN.search(text):
+        text = text.replace(". ", " . ").replace(", ", " , ")
+    return text.split(" ")
+
+
+class Encoder(dict):
     """Ids of whole texts as little-endian unsigned 32-bit numbers.
 
     The vocabulary's pre-tokenizer never joins characters across a space, tab or line break, so what stands between them is
-    encoded on its own, once, and kept up to a bound.
+    encoded on its own when it is first met, and kept up to a bound.
     """
 
     def __init__(self, path: str, cache: int = CACHE):
-        self.tokenizer, self.cache, self.known = load(path), cache, {}
-
-    def parts(self, text: str) -> Iterator[bytes]:
-        for at in range(0, len(text), 1 << 20):  # a word over a border is put together below
-            yield text[at : at + (1 << 20)]
+        self.tokenizer, self.cache = load(path), cache
+        self.tokenize = self.tokenizer.model.tokenize
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= self.cache:  # short words come again; long ones seldom do
+            short = {w: i for w, i in self.items() if len(w) <= KEPT_LENGTH}
+            self.clear()
+            if len(short) < self.cache // 2:
+                self.update(short)
+        if _PLAIN.fullmatch(word):  # lower-case Latin-1 letters are one run to the pre-tokenizer: the model is asked at once
+            ids = array("I", [t.id for t in self.tokenize(word.translate(_PLAIN_BYTES))]).tobytes()
+        else:
+            ids = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+        if len(word) <= LONGEST_KEPT:
+            self[word] = ids
+        return ids
 
     def text(self, text: str) -> bytes:
-        out, held = [], ""
-        for part in self.parts(text):
-            words = _SPACE.split(held + part)
-            held = words.pop() if len(text) > 1 << 20 else ""
-            out.append(self.words(words))
-        if held:
-            out.append(self.words([held]))
-        return b"".join(out)
-
-    def words(self, words: list[str]) -> bytes:
-        ids = list(map(self.known.get, words))
-        if None in ids:
-            if len(self.known) > self.cache:
-                self.known.clear()
-            new = [w for w in set(words) if w not in self.known]
-            coded = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-            self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, coded, strict=True))
-            ids = list(map(self.known.__getitem__, words))
-        return b"".join(ids)
+        return b"".join([b"".join(map(self.__getitem__, split(part))) for part in parts(text)])
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """A worker's encoder, kept from task to task."""
+    return Encoder(path)
 
 
 def pieces(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32, deal``: every document's ids with the end id, cut only where too long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, n = Encoder(vocabulary_path), 0
+        n = 0
         part = TaskContext.get().partitionId() << 40
         for b in batches:
             out: list[tuple] = []
+            encode = encoder(vocabulary_path).text
             for doc, body in zip(b.column("doc_id").to_pylist(), b.column("body"), strict=True):
-                ids = encoder.text(body.as_py()) + END_ID.to_bytes(4, "little")
+                ids = encode(body.as_py()) + END_ID.to_bytes(4, "little")
                 for k, at in enumerate(range(0, len(ids), 4 * length)):
                     own = ids[at : at + 4 * length]
                     out.append((doc, k, at // 4, len(own) // 4, zlib.crc32(own), part + n))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHE, CHUNK = 300_000, 1 << 20
+CACHE, CHUNK = 150_000, 1 << 20
 MARK = "▁"
 
 
@@ -115,6 +115,12 @@ class Counter:
         return n_words, n_tokens, n_unknown
 
 
+@lru_cache(maxsize=1)
+def counter(path: str) -> Counter:
+    """A worker's counter, kept from task to task."""
+    return Counter(load(path))
+
+
 def token_counts(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """How many word pieces each whole text has.
 
@@ -126,9 +132,8 @@ def token_counts(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(load(vocabulary_path))
         for b in batches:
-            got = [counter.text(x.as_py()) for x in b.column("body")]
+            got = [counter(vocabulary_path).text(x.as_py()) for x in b.column("body")]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array([g[k] for g in got], pa.int64()) for k in range(3)]], names=["doc_id", "n_words", "n_tokens", "n_unknown"])
 
     body = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("body"))
