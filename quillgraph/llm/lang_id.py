@@ -8,8 +8,10 @@ by expectation-maximisation on a bounded sample of labelled documents.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -21,11 +23,11 @@ from pyspark.sql.window import Window
 
 from .common import text_or_empty
 
-#: Bounds of the training sample: documents a language, and the length up to which a document may be sampled.
+#: Bounds of the training sample: documents a language, and characters of each.
 SAMPLE_DOCS, SAMPLE_CHARS = 400, 20_000
 ROUNDS, PRIOR = 3, 0.01
-#: Words whose scores a worker keeps.
-CACHE = 200_000
+#: Words whose scores a worker keeps, and the length up to which they outlast a full cache.
+CACHE, KEPT_LENGTH = 300_000, 6
 LONG_WORD, CHUNK = 32, 1 << 20
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -57,22 +59,32 @@ class Pieces:
     def __init__(self, vocabulary: list[str]):
         self.ids = {p: k + 1 for k, p in enumerate(vocabulary)}
         self.longest = max(map(len, vocabulary), default=1)
-
-    def edges(self, word: str) -> list[tuple[int, int, int]]:
-        """(start, end, piece id) of all pieces in the word, which starts with the mark of a word's start."""
-        w, get, out = "▁" + word, self.ids.get, []
-        for i in range(len(w)):
-            out.append((i, i + 1, get(w[i], 0)))
-            for j in range(i + 2, min(len(w), i + self.longest) + 1):
-                if (k := get(w[i:j])) is not None:
-                    out.append((i, j, k))
+        # beginnings of pieces that are none themselves: a search ends where no piece begins so
+        self.tree = {p[:n]: -1 for p in vocabulary for n in range(1, len(p))} | self.ids
+
+    def edges(self, word: str) -> list[int]:
+        """All pieces in the word with the mark of a word's start, as id << 12 | start << 6 | end; at most 62 letters."""
+        w, get, out = "▁" + word, self.tree.get, []
+        n = len(w)
+        for i in range(n):
+            at = i << 6
+            k = get(w[i], 0)
+            out.append((k if k > 0 else 0) << 12 | at | i + 1)
+            for j in range(i + 2, n + 1):
+                k = get(w[i:j])
+                if k is None:
+                    break
+                if k > 0:
+                    out.append(k << 12 | at | j)
         return out
 
 
 def _lattice(pieces: Pieces, batch: list[str]) -> tuple[np.ndarray, int]:
-    """Rows (word, start, end, piece) ordered by end, and the longest word's length with its mark."""
-    flat = [(k, *e) for k, w in enumerate(batch) for e in pieces.edges(w)]
-    e = np.array(flat, np.int64).reshape(-1, 4)
+    """Columns word, start, end, piece ordered by end, and the longest word's length with its mark."""
+    each = [pieces.edges(w) for w in batch]
+    flat = np.fromiter(chain.from_iterable(each), np.int64, sum(map(len, each)))
+    word = np.repeat(np.arange(len(batch)), [len(e) for e in each])
+    e = np.stack([word, flat >> 6 & 63, flat & 63, flat >> 12], axis=1)
     return e[np.argsort(e[:, 2], kind="stable")], max(map(len, batch)) + 1
 
 
@@ -148,21 +160,33 @@ def fit(pieces: Pieces, texts: list[str], rounds: int = ROUNDS, prior: float = P
     return p[:, 0]
 
 
+def sample(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+    """The rows ``doc_id, body, lang`` of about the first ``sample_docs`` documents of each language by a hash of their ids.
+
+    The hash up to which documents are taken is found on ids alone, a row for each language; texts are read for those only. That row, as later
+    the model, is sent to all tasks.
+    Documents of equal hash are taken together.
+    """
+    key = F.xxhash64("doc_id")
+    order = Window.partitionBy("lang").orderBy("key")
+    ranked = labelled.select("lang", key.alias("key")).withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= sample_docs)
+    upto = ranked.groupBy("lang").agg(F.max("key").alias("upto"))
+    return labelled.join(F.broadcast(upto), "lang").where(key <= F.col("upto")).select("doc_id", "body", "lang")
+
+
 def train(labelled: DataFrame, vocabulary: list[str], sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> tuple[list[str], np.ndarray]:
     """Languages, sorted, and their piece probabilities from rows ``doc_id, body, lang``.
 
-    The sample is the first ``sample_docs`` documents of each language in the order of a hash of their ids, among those
-    of at most ``sample_chars`` characters (among all, where a language has no such document). What comes back is as
-    large as the vocabulary times the number of languages.
+    Learned from ``sample_docs`` documents of each language and ``sample_chars`` characters of each of these at most. What comes
+    back is as large as the vocabulary times the number of languages.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = fit(Pieces(vocabulary), [t[:sample_chars] for t in pdf["body"]])
+        p = fit(Pieces(vocabulary), list(pdf["body"]))
         return pd.DataFrame({"lang": [pdf["lang"].iloc[0]], "p": [p.tolist()]})
 
-    order = Window.partitionBy("lang").orderBy(F.length("body") > sample_chars, F.xxhash64("doc_id"), "doc_id", "body")
-    sample = labelled.select("doc_id", "body", "lang", F.row_number().over(order).alias("rn")).where(F.col("rn") <= sample_docs)
-    rows = sorted(sample.select("body", "lang").groupBy("lang").applyInPandas(run, "lang string, p array<double>").collect(), key=lambda r: r["lang"])
+    rows = sample(labelled, sample_docs).select(F.substring("body", 1, sample_chars).alias("body"), "lang").groupBy("lang").applyInPandas(run, "lang string, p array<double>").collect()
+    rows = sorted(rows, key=lambda r: r["lang"])
     return [r["lang"] for r in rows], np.array([r["p"] for r in rows]).T if rows else np.zeros((len(vocabulary) + 1, 0))
 
 
@@ -174,32 +198,66 @@ class Scorer:
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.scores = np.zeros((self.cache, len(self.langs)), np.float64)
-
-    def text(self, text: str) -> np.ndarray:
-        total = np.zeros(len(self.langs))
-        for found in words(text):
-            for at in range(0, len(found), self.cache // 2):
-                part = found[at : at + self.cache // 2]
-                new = [w for w in dict.fromkeys(part) if w not in self.known]
-                if len(self.known) + len(new) > self.cache:
-                    self._clear()
-                    new = list(dict.fromkeys(part))
-                if new:
-                    first = len(self.known)
-                    self.scores[first : first + len(new)] = log_words(self.pieces, new, self.p)
-                    self.known.update(zip(new, range(first, first + len(new)), strict=True))
-                total += self.scores[list(map(self.known.__getitem__, part))].sum(axis=0)
-        return total
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        if text is None or not self.langs or not any(map(str.isalpha, text)):
-            return "und", 0.0
-        ll = self.text(text)
-        odds = np.exp(ll - ll.max())
-        k = int(np.argmax(odds))
-        return self.langs[k], float(odds[k] / odds.sum())
+        """Forget all words, or all but short ones, which come again, if these leave enough room."""
+        known = getattr(self, "known", {})
+        short = [w for w in known if len(w) <= KEPT_LENGTH]
+        short = short if len(short) <= self.cache // 2 else []
+        scores = np.zeros((self.cache, len(self.langs)), np.float64)
+        if short:
+            scores[: len(short)] = self.scores[[known[w] for w in short]]
+        self.scores, self.known = scores, {w: k for k, w in enumerate(short)}
+
+    def _group(self, group: list[list[str]]) -> list[np.ndarray]:
+        """Log probabilities of lists of words; those that are new are scored together."""
+        found = set().union(*group)
+        new = list(found - self.known.keys())
+        if len(self.known) + len(new) > self.cache:
+            self._clear()
+            new = list(found - self.known.keys())
+            if len(self.known) + len(new) > len(self.scores):
+                self.scores = np.concatenate([self.scores, np.zeros((len(new), len(self.langs)))])
+        if new:
+            first = len(self.known)
+            self.scores[first : first + len(new)] = log_words(self.pieces, new, self.p)
+            self.known.update(zip(new, range(first, first + len(new)), strict=True))
+        return [self.scores[np.fromiter(map(self.known.__getitem__, ws), np.int64, len(ws))].sum(axis=0) for ws in group]
+
+    def texts(self, texts: list[str]) -> list[np.ndarray]:
+        """Log probabilities of whole texts in each language."""
+        out: list[np.ndarray] = []
+        group, size = [], 0
+        for text in texts:
+            if len(text) > CHUNK:
+                out += self._group(group)
+                out.append(sum((self._group([ws])[0] for ws in words(text)), np.zeros(len(self.langs))))
+                group, size = [], 0
+                continue
+            group.append(_WORD.findall(text.lower()))
+            size += len(text)
+            if size > CHUNK:
+                out += self._group(group)
+                group, size = [], 0
+        return out + self._group(group)
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        told = [k for k, t in enumerate(texts) if t is not None and self.langs and any(map(str.isalpha, t))]
+        out = [("und", 0.0)] * len(texts)
+        for k, ll in zip(told, self.texts([texts[k] for k in told]), strict=True):
+            odds = np.exp(ll - ll.max())
+            best = int(np.argmax(odds))
+            out[k] = self.langs[best], float(odds[best] / odds.sum())
+        return out
+
+
+_KEPT: dict[str, Scorer] = {}
+
+
+def _scorer(name: str, *model) -> Scorer:
+    """A worker's scorer, kept from task to task of one model."""
+    if name not in _KEPT:
+        _KEPT.clear()
+        _KEPT[name] = Scorer(*model)
+    return _KEPT[name]
 
 
 def held_out_rule(id_col: str = "doc_id") -> Column:
@@ -219,12 +277,12 @@ def lang_id(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_
     vocabulary = load_vocabulary(vocabulary_path)
     usable = docs.where(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out_rule(id_col))
     langs, p = train(usable.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("body"), F.col(lang_col).alias("lang")), vocabulary, sample_docs)
-    model = docs.sparkSession.sparkContext.broadcast((vocabulary, langs, p))  # vocabulary times languages
+    model = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, vocabulary, langs, p))  # vocabulary times languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(*model.value)
+        scorer = _scorer(*model.value)
         for b in batches:
-            got = [scorer.predict(x.as_py()) for x in b.column("__body")]
+            got = [g for low in range(0, len(b), 500) for g in scorer.predict(b.column("__body").slice(low, 500).to_pylist())]
             rest = [k for k, name in enumerate(b.schema.names) if name != "__body" or keep]
             cols = [b.column(k) for k in rest] + [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())]
             names = [b.schema.names[k] for k in rest] + ["__lang", "__score"]
