@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -32,21 +33,27 @@ def relation_mentions(triples: DataFrame, predicates: Sequence[str] = RELATION_P
 
 
 def infer(triples: DataFrame, mentions: DataFrame, inverses: Sequence[tuple[str, str]] = INVERSES, types: Sequence[tuple[str, str]] = TYPE_RULES) -> DataFrame:
-    """``triples`` with missing inverse links, and types of the links' ends unless those are mentions."""
-    out = triples.select(*TRIPLE)
+    """``triples``, a set, with missing inverse links, and types of the links' ends unless those are mentions.
+
+    Only links and types are compared with what is there, so the bulk of the triples isn't moved.
+    """
+    none = F.lit(None).cast("string")
+    key = ["record_id", "s", "p", "o"]
     ends = triples.where("o_kind <> 'l'")
 
     def turned(p: str, q: str) -> DataFrame:
-        return ends.where(F.col("p") == p).select("record_id", F.col("o").alias("s"), F.col("o_kind").alias("s_kind"), F.lit(q).alias("p"), F.col("s").alias("o"), F.col("s_kind").alias("o_kind"), F.lit(None).cast("string").alias("o_dt"), F.lit(None).cast("string").alias("o_lang"))
+        return ends.where(F.col("p") == p).select("record_id", F.col("o").alias("s"), F.col("o_kind").alias("s_kind"), F.lit(q).alias("p"), F.col("s").alias("o"), F.col("s_kind").alias("o_kind"), none.alias("o_dt"), none.alias("o_lang"))
 
-    for p, q in inverses:
-        out = out.unionByName(turned(p, q)).unionByName(turned(q, p))
-    out = out.dropDuplicates(TRIPLE)
+    both = [turned(a, b) for p, q in inverses for a, b in ((p, q), (q, p))]
+    found = reduce(DataFrame.unionByName, both).dropDuplicates(key)
+    known = ends.where(F.col("p").isin(*[x for pair in inverses for x in pair]))
+    new_links = checkpoint(found.join(known.select(*key), key, "left_anti"))
     rules = triples.sparkSession.createDataFrame(list(types), "p string, type string")
-    given = out.where("o_kind <> 'l'").join(F.broadcast(rules), "p").select("record_id", F.col("o").alias("s"), F.col("o_kind").alias("s_kind"), "type").distinct()
-    given = given.join(mentions.withColumnRenamed("node", "s"), ["record_id", "s"], "left_anti")
-    typed = given.select("record_id", "s", "s_kind", F.lit(TYPE).alias("p"), F.col("type").alias("o"), F.lit("u").alias("o_kind"), F.lit(None).cast("string").alias("o_dt"), F.lit(None).cast("string").alias("o_lang"))
-    return out.unionByName(typed).dropDuplicates(TRIPLE)
+    linked = ends.where(F.col("p").isin(*[p for p, _ in types])).select(*TRIPLE).unionByName(new_links.select(*TRIPLE).where(F.col("p").isin(*[p for p, _ in types])))
+    given = linked.join(F.broadcast(rules), "p").select("record_id", F.col("o").alias("s"), F.col("o_kind").alias("s_kind"), F.lit(TYPE).alias("p"), F.col("type").alias("o")).dropDuplicates(key)
+    given = given.join(mentions.withColumnRenamed("node", "s"), ["record_id", "s"], "left_anti").join(ends.where(F.col("p") == TYPE).select(*key), key, "left_anti")
+    typed = given.select("record_id", "s", "s_kind", "p", "o", F.lit("u").alias("o_kind"), none.alias("o_dt"), none.alias("o_lang"))
+    return triples.select(*TRIPLE).unionByName(new_links.select(*TRIPLE)).unionByName(typed)
 
 
 def entities(triples: DataFrame, mentions: DataFrame, class_: str) -> DataFrame:

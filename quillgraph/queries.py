@@ -17,6 +17,7 @@ from .functions.text import address_tokens, tokens
 from .operators import graph, identity, search, upsert
 from .operators.closure import description
 from .operators.documents import framed, to_document
+from .plans.session import checkpoint
 from .schema import TRIPLE
 from .vocab import ADMIN, BF, DCTERMS, DERIVED_FROM, HAS_INSTANCE, HUB, INSTANCE, INSTANCE_OF, LABELS, LCLOCAL, MADS, NAMESPACE, RDF, RELATION_PREDICATES, TYPE, WORK
 
@@ -76,9 +77,9 @@ def _end(ctes: str, select: str) -> str:
 
 def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Inferred triples and the relation mentions."""
-    given = triplify.triples(spark, sf_dir)
-    mentions = graph.relation_mentions(given)
-    return graph.infer(given, mentions), mentions
+    given = checkpoint(triplify.triples(spark, sf_dir))
+    mentions = checkpoint(graph.relation_mentions(given))
+    return checkpoint(graph.infer(given, mentions)), mentions
 
 
 def _entities(inferred: DataFrame, mentions: DataFrame) -> DataFrame:
@@ -88,8 +89,8 @@ def _entities(inferred: DataFrame, mentions: DataFrame) -> DataFrame:
 
 def _cbd(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     inferred, mentions = _graph(spark, sf_dir)
-    found = _entities(inferred, mentions)
-    return description(inferred, found), inferred, found
+    found = checkpoint(_entities(inferred, mentions))
+    return checkpoint(description(inferred, found)), inferred, found
 
 
 def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,7 +172,7 @@ def others_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _resolve(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     inferred, mentions = _graph(spark, sf_dir)
-    return identity.resolve(inferred, _entities(inferred, mentions), NAMESPACE, _stored(spark, sf_dir)), inferred
+    return checkpoint(identity.resolve(inferred, _entities(inferred, mentions), NAMESPACE, _stored(spark, sf_dir))), inferred
 
 
 _ID = _T + _MENTIONS + _INFERRED + _ENTITIES + _STORED + _RESOLVED
@@ -200,7 +201,7 @@ _REWRITTEN = """rewritten AS MATERIALIZED (SELECT DISTINCT t.record_id, coalesce
 
 def _rewritten(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     resolved, inferred = _resolve(spark, sf_dir)
-    return graph.rewrite(inferred, resolved.groupBy("record_id", "old").agg(F.min("new").alias("new"))), resolved
+    return checkpoint(graph.rewrite(inferred, resolved.groupBy("record_id", "old").agg(F.min("new").alias("new")))), resolved
 
 
 @query(_end(_ID + _RENAMES + _REWRITTEN, "SELECT record_id, s, p, o, s_kind, o_kind FROM rewritten"))
@@ -234,7 +235,7 @@ def admin_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
       UNION SELECT t.record_id, t.o FROM gone g JOIN triples t ON t.record_id = g.record_id AND t.s = g.node WHERE t.o_kind = 'b'), """, """SELECT record_id, s, p, o FROM triples t WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.record_id = t.record_id AND g.node = t.s)
       AND NOT EXISTS (SELECT 1 FROM gone g WHERE g.record_id = t.record_id AND g.node = t.o AND t.o_kind = 'b')"""))
 def strip_excluded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.strip_excluded(triplify.triples(spark, sf_dir)).select("record_id", "s", "p", "o")
+    return graph.strip_excluded(checkpoint(triplify.triples(spark, sf_dir))).select("record_id", "s", "p", "o")
 
 
 _SEP = "'␟'"
@@ -252,15 +253,14 @@ _PRINTS = f"""level0 AS MATERIALIZED (SELECT record_id, s, {_LEVEL} AS fp FROM (
 
 @query(_end(_T + _PRINTS, "SELECT record_id, s AS node, fp FROM level3"))
 def fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    given = triplify.triples(spark, sf_dir)
-    return graph.fingerprints(given.where("s_kind = 'b'"))
+    return graph.fingerprints(triplify.triples(spark, sf_dir).where("s_kind = 'b'"))
 
 
 @query(_end(_T + _PRINTS + f"""named AS (SELECT record_id, s, arg_min(o, rank) AS label FROM (SELECT record_id, s, trim(o) AS o, CASE p {' '.join(f"WHEN '{p}' THEN {k}" for k, p in enumerate(LABELS))} END AS rank FROM triples
       WHERE p IN ({', '.join(f"'{p}'" for p in LABELS)})) GROUP BY ALL), """, """SELECT t.record_id, t.s, t.p, count(*) AS copies, min(n.label) AS label FROM triples t JOIN level3 l ON l.record_id = t.record_id AND l.s = t.o
       LEFT JOIN named n ON n.record_id = t.record_id AND n.s = t.o WHERE t.o_kind = 'b' GROUP BY t.record_id, t.s, t.p, l.fp HAVING count(*) > 1"""))
 def duplicate_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    given = triplify.triples(spark, sf_dir)
+    given = checkpoint(triplify.triples(spark, sf_dir))
     return graph.duplicate_values(given, graph.fingerprints(given.where("s_kind = 'b'")))
 
 
