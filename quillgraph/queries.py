@@ -59,7 +59,7 @@ _CBD = f"""kept AS (SELECT * FROM inferred WHERE {_KEPT}),
     cbd AS MATERIALIZED (SELECT e.record_id, e.class, e.entity, k.s, k.s_kind, k.p, k.o, k.o_kind, k.o_dt, k.o_lang FROM entities e JOIN nodes n ON n.record_id = e.record_id AND n.root = e.entity JOIN kept k ON k.record_id = n.record_id AND k.s = n.node), """
 _ALL = _T + _MENTIONS + _INFERRED + _ENTITIES + _CBD
 _UUID = "substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-4' || substr(h, 14, 3) || '-a' || substr(h, 18, 3) || '-' || substr(h, 21, 12)"
-_STORED = "stored AS (SELECT 'works' AS type, 'http://ex.org/works/' || CAST(o_orderkey AS STRING) AS derived_from, 'https://bcld.info/works/s' || CAST(o_orderkey AS STRING) AS uri FROM orders WHERE o_orderkey % 3 = 1), "
+_STORED = "stored AS (SELECT 'works' AS type, 'http://ex.org/works/' || CAST(o_orderkey AS STRING) AS derived_from, 'https://data.example.org/works/s' || CAST(o_orderkey AS STRING) AS uri FROM orders WHERE o_orderkey % 3 = 1), "
 _RESOLVED = f"""foreign_ AS (SELECT * FROM entities WHERE NOT (kind = 'u' AND starts_with(entity, '{NAMESPACE}'))),
     inside AS (SELECT a.record_id, d.o AS source, min(a.s) AS uri FROM inferred a JOIN inferred d ON a.record_id = d.record_id AND a.o = d.s WHERE a.p = '{ADMIN}' AND d.p = '{DERIVED_FROM}' GROUP BY ALL),
     known AS (SELECT type, derived_from, min(uri) AS uri FROM stored GROUP BY ALL),
@@ -95,7 +95,7 @@ def _cbd(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFr
 
 def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("o_orderkey").cast("string")
-    return _table(spark, sf_dir, "orders").where("o_orderkey % 3 = 1").select(F.lit("works").alias("type"), F.concat(F.lit("http://ex.org/works/"), key).alias("derived_from"), F.concat(F.lit("https://bcld.info/works/s"), key).alias("uri"))
+    return _table(spark, sf_dir, "orders").where("o_orderkey % 3 = 1").select(F.lit("works").alias("type"), F.concat(F.lit("http://ex.org/works/"), key).alias("derived_from"), F.concat(F.lit("https://data.example.org/works/s"), key).alias("uri"))
 
 
 @query(_end(_T, "SELECT p, s_kind, o_kind, count(*) AS n FROM triples GROUP BY ALL"))

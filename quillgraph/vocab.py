@@ -29,7 +29,7 @@ DESCRIPTION_AUTHENTICATION = "http://id.loc.gov/vocabulary/marcauthen/pcc"
 DESCRIPTION_LANGUAGE = "http://id.loc.gov/vocabulary/languages/eng"
 DESCRIPTION_LEVEL = "http://id.loc.gov/ontologies/bibframe-2-6-0/"
 STUB_LABEL, STUB_CODE, UNKNOWN_USER = "incomplete", "incmp", "Unknown"
-NAMESPACE = "https://bcld.info/"
+NAMESPACE = "https://data.example.org/"
 
 TYPE, FIRST, REST, NIL, VALUE = RDF + "type", RDF + "first", RDF + "rest", RDF + "nil", RDF + "value"
 LABEL = RDFS + "label"

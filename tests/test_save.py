@@ -61,7 +61,7 @@ def test_resources(saved):
     assert i1["is_stub"] and STUB_STATUS in i1["data"] and i1["work_id"] == by_source(base, "w1")["id"]
     assert base["id"].is_unique and base["uri"].is_unique and base["uri"].notna().all()
     unnamed = base[(base["type"] == "works") & base["derived_from"].isna()].iloc[0]
-    assert "no name" in unnamed["data"] and "adminMetadata" not in unnamed["data"] and unnamed["uri"].startswith("https://bcld.info/works/")
+    assert "no name" in unnamed["data"] and "adminMetadata" not in unnamed["data"] and unnamed["uri"].startswith("https://data.example.org/works/")
     assert "OclcNumber" not in by_source(base, "w1")["data"]
     assert set(base[base["type"] == "other_resources"]["uri"]) == {"http://ex.org/" + x for x in ("s1", "s2", "a1", "p")} | {STUB_STATUS}
     # r2 doesn't name s1, so what it says of it is no description of its own
@@ -113,18 +113,18 @@ def test_one_by_one_is_the_batch(spark, tmp_path, saved):
 
 def test_primary_class(spark, tmp_path):
     store = Store(spark, str(tmp_path / "s"))
-    own = "<https://bcld.info/works/1>"
-    first = f'{own} a bf:Work ; rdfs:label "full" ; {FULL} ; bf:subject <s> ; bf:hasInstance <https://bcld.info/instances/1> . <https://bcld.info/instances/1> rdfs:label "i" . <s> rdfs:label "s" .'
+    own = "<https://data.example.org/works/1>"
+    first = f'{own} a bf:Work ; rdfs:label "full" ; {FULL} ; bf:subject <s> ; bf:hasInstance <https://data.example.org/instances/1> . <https://data.example.org/instances/1> rdfs:label "i" . <s> rdfs:label "s" .'
     save_graph(store, graph(spark, a=first), stamp=STAMP)
     work = lambda: store.table("resource_base").where("type = 'works'").first()
     before = work()["content_hash"]
-    save_graph(store, graph(spark, a=f'<https://bcld.info/instances/1> a bf:Instance ; rdfs:label "new" ; bf:instanceOf {own} . {own} rdfs:label "only a label" .'), primary_class="http://id.loc.gov/ontologies/bibframe/Instance", stamp=STAMP)
+    save_graph(store, graph(spark, a=f'<https://data.example.org/instances/1> a bf:Instance ; rdfs:label "new" ; bf:instanceOf {own} . {own} rdfs:label "only a label" .'), primary_class="http://id.loc.gov/ontologies/bibframe/Instance", stamp=STAMP)
     assert work()["content_hash"] == before and "new" in store.table("resource_base").where("type = 'instances'").first()["data"]
     save_graph(store, graph(spark, a=f'{own} a bf:Work ; rdfs:label "changed" ; bf:adminMetadata [ a bf:AdminMetadata ; bf:status <{STUB_STATUS}> ] ; bf:toc [ bf:status <{STUB_STATUS}> ] . <s> rdfs:label "s2" .'), primary_class=WORK, stamp=STAMP)
     assert "changed" in work()["data"] and not work()["is_stub"] and work()["data"].count("incmp") == 1
-    save_graph(store, graph(spark, a='<s> rdfs:label "s3" .  <https://bcld.info/works/1> a bf:Work ; rdfs:label "changed" ; bf:subject <s> .'), update_other_resources=False, stamp=STAMP)
+    save_graph(store, graph(spark, a='<s> rdfs:label "s3" .  <https://data.example.org/works/1> a bf:Work ; rdfs:label "changed" ; bf:subject <s> .'), update_other_resources=False, stamp=STAMP)
     assert '"s"' in store.table("resource_base").where("uri = 'http://ex.org/s'").first()["data"]
-    save_graph(store, graph(spark, a='<s> rdfs:label "s3" .  <https://bcld.info/works/1> a bf:Work ; rdfs:label "changed" ; bf:subject <s> .'), primary_class=OTHER, stamp=STAMP)
+    save_graph(store, graph(spark, a='<s> rdfs:label "s3" .  <https://data.example.org/works/1> a bf:Work ; rdfs:label "changed" ; bf:subject <s> .'), primary_class=OTHER, stamp=STAMP)
     assert '"s3"' in store.table("resource_base").where("uri = 'http://ex.org/s'").first()["data"]
 
 
@@ -142,10 +142,10 @@ def test_strict_and_namespace(spark, tmp_path):
 
 def test_in_graph_identity(spark, tmp_path):
     store = Store(spark, str(tmp_path / "s"))
-    text = f'<https://bcld.info/works/7> a bf:Work ; rdfs:label "own" ; bf:adminMetadata [ bf:derivedFrom <w7> ; bf:status <http://id.loc.gov/vocabulary/mstatus/c> ] . <w7> a bf:Work ; bf:hasInstance <i7> . <i7> rdfs:label "i" ; {FULL} .'
+    text = f'<https://data.example.org/works/7> a bf:Work ; rdfs:label "own" ; bf:adminMetadata [ bf:derivedFrom <w7> ; bf:status <http://id.loc.gov/vocabulary/mstatus/c> ] . <w7> a bf:Work ; bf:hasInstance <i7> . <i7> rdfs:label "i" ; {FULL} .'
     out = save_graph(store, graph(spark, a=text), stamp=STAMP)
     works = out.tables["resource_base"].where("type = 'works'").collect()
-    assert [w["uri"] for w in works] == ["https://bcld.info/works/7"] and not works[0]["is_stub"] and works[0]["derived_from"] == "http://ex.org/w7"
+    assert [w["uri"] for w in works] == ["https://data.example.org/works/7"] and not works[0]["is_stub"] and works[0]["derived_from"] == "http://ex.org/w7"
     store.reset()
     assert store.table("resource_base").count() == 0
 
@@ -202,5 +202,5 @@ def test_stream(spark, tmp_path):
     (source / "bad.jsonld").write_text("{")
     store = Store(spark, str(tmp_path / "store"))
     for _ in range(2):
-        ingest(record_stream(spark, str(source)), store, str(tmp_path / "checkpoint"), "https://bcld.info/").awaitTermination()
+        ingest(record_stream(spark, str(source)), store, str(tmp_path / "checkpoint"), "https://data.example.org/").awaitTermination()
     assert store.table("resource_base").where(F.col("type") == "works").count() == 2
