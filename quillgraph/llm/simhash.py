@@ -8,7 +8,7 @@ fingerprint under its exact partition values; probes enumerate values within T_i
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from math import comb
 
 import numpy as np
@@ -27,26 +27,37 @@ BUCKET = 64
 PROBE_COST = 2.0
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
-    """The SimHash of UTF-8 bytes: ASCII lower case, words at ASCII white space, shingles hashed by XXH64."""
+def shingle_hashes(text: bytes, shingle: int = SHINGLE) -> Iterator[np.ndarray]:
+    """XXH64 of the word shingles of UTF-8 bytes, repeats included, in arrays of at most 65,536; none without words."""
     words = text.lower().split()
     if not words:
-        return 0
+        return
     joined = b" ".join(words)
     size = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(size + 1) - 1
     starts = ends - size
     n = max(1, len(words) - shingle + 1)
     last = min(shingle, len(words)) - 1
-    hashed, count = xxhash.xxh64_intdigest, np.zeros(BITS, np.int64)
+    hashed = xxhash.xxh64_intdigest
     for at in range(0, n, 65536):
         upto = min(n, at + 65536)
-        h = [hashed(joined[a:b], SEED) for a, b in zip(starts[at:upto].tolist(), ends[at + last : upto + last].tolist(), strict=True)]
-        bits = np.unpackbits(np.array(h, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        count += bits.sum(axis=0, dtype=np.int64)
+        yield np.array([hashed(joined[a:b], SEED) for a, b in zip(starts[at:upto].tolist(), ends[at + last : upto + last].tolist(), strict=True)], "<u8")
+
+
+def fold(hashes: Iterable[np.ndarray]) -> int:
+    """The SimHash of shingle hashes: the bits set in over half of them."""
+    count, n = np.zeros(BITS, np.int64), 0
+    for h in hashes:
+        count += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        n += len(h)
     return int(sum(1 << b for b in np.flatnonzero(2 * count > n).tolist()))
 
 
+def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+    """The SimHash of UTF-8 bytes: ASCII lower case, words at ASCII white space, shingles hashed by XXH64."""
+    return fold(shingle_hashes(text, shingle))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """``doc_id, fp``: the fingerprint as a signed long."""
 
@@ -165,6 +176,15 @@ def links(fps: DataFrame, chosen: list[tuple[list[int], int]], distance: int = D
     return pairs.unionByName(stars).distinct()
 
 
+def _grouped(prints: DataFrame, classes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``doc_id, fingerprint, component_id`` from the links between fingerprints."""
+    found = connected_components(edges)
+    grouped = classes.join(found.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "top", F.coalesce("root", "fp").alias("root"))
+    least = grouped.groupBy("root").agg(F.min("top").alias("component_id"))
+    by_print = grouped.select("fp", "root").join(least, "root").select("fp", "component_id")
+    return prints.join(by_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """Fingerprints of whole texts and the groups they form when those within two differing bits link.
 
@@ -177,8 +197,18 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     prints = materialize(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("top")), "fingerprint-classes")
     n, both = bit_statistics(classes)
-    found = connected_components(links(classes.select("fp"), plan(n, both)))
-    grouped = classes.join(found.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "top", F.coalesce("root", "fp").alias("root"))
-    least = grouped.groupBy("root").agg(F.min("top").alias("component_id"))
-    by_print = grouped.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return prints.join(by_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return _grouped(prints, classes, links(classes.select("fp"), plan(n, both)))
+
+
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """As ``simhash_dedup``, where texts also link whose sets of word shingles have the Jaccard similarity.
+
+    Texts without words link to each other only through their fingerprint. Rows of one id are expected to hold one text.
+    """
+    from .similar import similar_links, sketches
+
+    prints = materialize(sketches(docs, shingle, id_col, text_col), "fingerprints")
+    classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("top")), "fingerprint-classes")
+    n, both = bit_statistics(classes)
+    near = materialize(links(classes.select("fp"), plan(n, both)), "near")
+    return _grouped(prints.select("doc_id", "fp"), classes, similar_links(docs, prints, near, shingle, similarity, id_col, text_col))

@@ -64,13 +64,28 @@ def cut(rows, length=4096):
     return out
 
 
-def simhash(text):
-    text = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
-    words = re.findall(r"[^\x20\x09-\x0D]+", text)
-    if not words:
+def shingles(text, size):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return [" ".join(words[i : i + size]) for i in range(len(words) - size + 1)] or ([" ".join(words)] if words else [])
+
+
+def jaccard(a, b, size=5):
+    x, y = set(shingles(a, size)), set(shingles(b, size))
+    return len(x & y) / len(x | y) if x and y else 0.0
+
+
+def near(rows, similarity=0.8, size=5):
+    """Components of (id, text) rows by fingerprints within two bits or similar shingle sets."""
+    texts = dict(rows)
+    prints = {k: simhash(t, size) for k, t in rows}
+    return components(list(texts), lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 2 or jaccard(texts[a], texts[b], size) >= similarity)
+
+
+def simhash(text, size=3):
+    parts = shingles(text, size)
+    if not parts:
         return 0
-    shingles = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or [" ".join(words)]
-    h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in parts]
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillgraph.llm import exact_dedup, html_text, lang_id, line_dedup, mixing, packing, simhash, substring_dedup, token_counts, topk
+from quillgraph.llm import exact_dedup, html_text, lang_id, line_dedup, mixing, packing, similar, simhash, substring_dedup, token_counts, topk
 from quillgraph.llm.components import connected_components
 from quillgraph.llm.queries import vocabulary
 
@@ -299,6 +299,33 @@ def test_simhash_links(spark, bucket):
         assert {x: root.get(x, x) for x in signed} == expected
 
 
+@pytest.mark.parametrize("block", [3, 64])
+@pytest.mark.parametrize("stars", [0, 2])
+def test_near_texts(spark, block, stars, monkeypatch):
+    """Groups and chains of near copies around the threshold, with nulls, short texts and repeats, against brute force."""
+    monkeypatch.setattr(similar, "BLOCK", block)
+    monkeypatch.setattr(similar, "STARS", stars)
+    rng, rows = random.Random(11), []
+    for group in range(6):
+        base = [f"w{rng.randrange(4000)}" for _ in range(150)]
+        for _ in range(9):  # each from the one before or the first, with one to four words changed
+            words = list(base)
+            for _ in range(rng.randrange(5)):
+                words[rng.randrange(150)] = f"v{rng.randrange(4000)}"
+            rows.append((7 * len(rows) % 101, " ".join(words)))
+            base = words if group % 2 else base
+    rows += [(k, t) for k, t in zip(range(200, 209), ["", None, " \n", "one two", "ONE two", "one three", "a b c d e", "a b c d e f", rows[0][1].upper()], strict=True)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in simhash.near_dedup(docs).collect()} == brute.near(rows)
+
+
+def test_near_texts_edges(spark):
+    """Null ids, rows repeated with one id, clashing columns, an empty table."""
+    docs = spark.createDataFrame([(None, "a b c d e f", 1), (4, "x y z", 2), (4, "x y z", 3), (2, "A B c d e f", 4)], "doc_id long, text string, fp int")
+    assert sorted((r["doc_id"] or 0, r["component_id"]) for r in simhash.near_dedup(docs).collect()) == [(0, 2), (2, 2), (4, 4), (4, 4)]
+    assert simhash.near_dedup(docs.limit(0)).count() == 0
+
+
 def test_simhash_allocation():
     both = np.full((64, 64), 25.0) + np.eye(64) * 25
     parts = simhash.arrange(100, both, 2)

@@ -135,8 +135,7 @@ def test_pipeline(spark, tmp_path):
     assert {r["doc_id"]: r["text"] for r in seen["language_id"]} == kept
     lines = {k: t for k, (_, n, t) in brute.line_dedup(list(kept.items())).items() if not n or t.strip()}
     assert {r["doc_id"]: r["text"] for r in seen["line_dedup"]} == lines and all(r["n_chars"] == len(r["text"]) for r in seen["line_dedup"])
-    prints = {k: brute.simhash(t) for k, t in lines.items()}
-    roots = brute.components(list(prints), lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 2)
+    roots = brute.near(list(lines.items()))
     assert {r["doc_id"]: r["text"] for r in seen["simhash_dedup"]} == {k: lines[k] for k in set(roots.values())}
     mixed = Counter((r["doc_id"], r["text"]) for r in seen["mix_sources"])
     assert set(mixed) == {(k, lines[k]) for k in set(roots.values())} and max(mixed.values()) <= 2
