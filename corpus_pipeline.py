@@ -47,11 +47,15 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id; rows repeated with one id become one."""
+    """Of each group of near copies the document with the smallest id; rows repeated with one id become one.
+
+    Near copies are within two bits of fingerprint or share five-word shingles to a similarity of 0.8.
+    """
     named = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(2**62) + F.monotonically_increasing_id()))
-    grouped = _simhash.simhash_dedup(named, "__id")
+    named = materialize(named.dropDuplicates(["__id"]), "named")
+    grouped = _simhash.near_dedup(named, "__id")
     stays = grouped.where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    return named.join(stays, "__id", "left_semi").dropDuplicates(["__id"]).select(*_columns(docs))
+    return named.join(stays, "__id", "left_semi").select(*_columns(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
