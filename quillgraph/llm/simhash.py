@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_or_empty
+from .common import discard, materialize, text_or_empty
 from .components import connected_components
 
 BITS, SEED, SHINGLE, DISTANCE = 64, 42, 3, 2
@@ -207,8 +207,11 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     from .similar import similar_links, sketches
 
-    prints = materialize(sketches(docs, shingle, id_col, text_col), "fingerprints")
+    held = materialize(sketches(docs, shingle, id_col, text_col), "sketches")
+    prints = materialize(held.select("doc_id", "fp"), "fingerprints")
     classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("top")), "fingerprint-classes")
     n, both = bit_statistics(classes)
     near = materialize(links(classes.select("fp"), plan(n, both)), "near")
-    return _grouped(prints.select("doc_id", "fp"), classes, similar_links(docs, prints, near, shingle, similarity, id_col, text_col))
+    edges = materialize(similar_links(docs, held, near, shingle, similarity, id_col, text_col), "near-all")
+    discard(held)
+    return _grouped(prints, classes, edges)

@@ -26,7 +26,7 @@ MARGIN = 0.07
 #: Members of a bucket in one block of the comparison that settles what the stars leave open.
 BLOCK = 64
 #: Rounds of comparing a bucket's members with one of them.
-STARS = 2
+STARS = 3
 
 _SCALE, _SHIFT = np.random.default_rng(7).integers(0, 2**64, (2, BANDS * ROWS), dtype=np.uint64)
 _SCALE |= np.uint64(1)
@@ -34,7 +34,7 @@ _SKETCH = "doc_id long, fp long, digest binary, sig binary, keys array<long>"
 
 
 def minima(hashes: np.ndarray) -> np.ndarray:
-    """The least value of each of ``BANDS * ROWS`` hash functions over shingle hashes, as 32 bits."""
+    """The least value of each of ``BANDS * ROWS`` hash functions over shingle hashes, 32 bits of it."""
     low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(hashes), 1024):
         np.minimum(low, (hashes[at : at + 1024, None] * _SCALE + _SHIFT).min(axis=0), out=low)
@@ -65,7 +65,7 @@ def sketches(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col: st
                 own = np.unique(np.concatenate(parts))
                 sig = minima(own)
                 digests.append(xxhash.xxh3_128_digest(own.tobytes()))
-                sigs.append(sig.tobytes())
+                sigs.append((sig & 0xFFFF).astype("<u2").tobytes())  # enough to estimate by
                 bands = [xxhash.xxh64_intdigest(sig[k * ROWS : (k + 1) * ROWS].tobytes(), k) for k in range(BANDS)]
                 keys.append(np.array(bands, np.uint64).view(np.int64).tolist())
             fp = pa.array(np.array(fps, np.uint64).view(np.int64), pa.int64())
@@ -82,7 +82,7 @@ def _estimated(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
         for t in batches:
             if not t.num_rows:
                 continue
-            x, y = (np.frombuffer(b"".join(t.column(c).to_pylist()), "<u4").reshape(t.num_rows, -1) for c in ("sig_a", "sig_b"))
+            x, y = (np.frombuffer(b"".join(t.column(c).to_pylist()), "<u2").reshape(t.num_rows, -1) for c in ("sig_a", "sig_b"))
             same = (x == y).mean(axis=1)
             keep = np.flatnonzero(same >= least)
             got = [t.column(c).take(pa.array(keep)) for c in ("a", "b", "fp_a", "fp_b")]
@@ -106,10 +106,10 @@ def _blocks(open_: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
                 left, right = ([m for m in block if m["left"] is side] for side in (True, False))
                 if not left or not right:
                     continue
-                sig = np.frombuffer(b"".join(m["sig"] for m in right), "<u4").reshape(len(right), -1)
+                sig = np.frombuffer(b"".join(m["sig"] for m in right), "<u2").reshape(len(right), -1)
                 roots = np.array([m["root"] for m in right])
                 for m in left:
-                    same = (sig == np.frombuffer(m["sig"], "<u4")).mean(axis=1)
+                    same = (sig == np.frombuffer(m["sig"], "<u2")).mean(axis=1)
                     for k in np.flatnonzero((same >= least) & (roots != m["root"])):
                         o = right[k]
                         x, y = sorted(((m["digest"], m["fp"]), (o["digest"], o["fp"])))
@@ -157,14 +157,18 @@ def _checked(pairs: DataFrame, docs: DataFrame, prints: DataFrame, shingle: int,
 def similar_links(docs: DataFrame, prints: DataFrame, near: DataFrame, shingle: int, similarity: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``a, b``: the links ``near`` between fingerprints and those of texts with the similarity; ``prints`` are sketches.
 
-    Each bucket is compared with one of its members and another, which joins most groups of copies; a bucket whose members
-    are of one component needs no more. In the others all pairs of different components are compared in blocks, so no link
-    between components is lost however large a bucket is. Ids must tell rows apart or rows of one id hold one text.
+    In each round a text is compared with one other: of the texts its buckets have for a centre, the one first in the order
+    of a hash. That joins most groups of copies, and a bucket whose members are of one component needs no more. In the
+    others all pairs of different components are compared in blocks, so no link between components is lost however large
+    a bucket is. Ids must tell rows apart or rows of one id hold one text.
     """
-    nodes = materialize(prints.where("digest IS NOT NULL").dropDuplicates(["digest"]).select("digest", "fp", "sig", "keys"), "sketches")
-    every = nodes.select("digest", "fp", F.explode("keys").alias("key"))
-    members = materialize(every.join(every.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "key", "left_semi"), "buckets")
-    links, least = near.select("a", "b"), similarity - MARGIN
+    keyed = prints.where("digest IS NOT NULL").select("digest", "fp", "keys").dropDuplicates(["digest"]).select("digest", "fp", F.explode("keys").alias("key"))
+    shared = materialize(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "shared-keys")
+    members = materialize(keyed.join(shared, "key", "left_semi"), "buckets")
+    nodes = materialize(prints.join(members.select("digest").distinct(), "digest", "left_semi").select("digest", "fp", "sig").dropDuplicates(["digest"]), "sketches")
+    same = prints.where("digest IS NOT NULL").select("digest", F.col("fp").alias("a")).distinct()  # one set, other repeats
+    same = same.join(same.groupBy("digest").agg(F.min("a").alias("b")), "digest").where("a <> b").select("a", "b")
+    links, least = materialize(near.select("a", "b").unionByName(same), "near-same"), similarity - MARGIN
 
     def decided(pairs: DataFrame) -> DataFrame:
         pairs = materialize(pairs, "estimated")
@@ -180,7 +184,12 @@ def similar_links(docs: DataFrame, prints: DataFrame, near: DataFrame, shingle:
 
     for turn in range(STARS):
         open_ = rooted()
-        centre = open_.groupBy("key").agg(F.min_by(F.struct("digest", "root"), F.xxhash64("digest", F.lit(turn))).alias("c"))
-        met = open_.join(centre, "key").where("root <> c.root").select(F.least("digest", "c.digest").alias("a"), F.greatest("digest", "c.digest").alias("b")).distinct()
+        if open_.isEmpty():
+            return links
+        order = F.xxhash64("digest", F.lit(turn))
+        centre = open_.groupBy("key").agg(F.min(F.struct(order.alias("h"), "digest", "root")).alias("c"))
+        first = open_.join(centre, "key").where("root <> c.root").groupBy("digest").agg(F.min("c").alias("c"))
+        met = first.select(F.least("digest", "c.digest").alias("a"), F.greatest("digest", "c.digest").alias("b")).distinct()
         links = links.unionByName(decided(_estimated(met, nodes, least)))
-    return links.unionByName(decided(_blocks(rooted(), nodes, least)))
+    open_ = rooted()
+    return links if open_.isEmpty() else links.unionByName(decided(_blocks(open_, nodes, least)))

@@ -314,7 +314,7 @@ def test_near_texts(spark, block, stars, monkeypatch):
                 words[rng.randrange(150)] = f"v{rng.randrange(4000)}"
             rows.append((7 * len(rows) % 101, " ".join(words)))
             base = words if group % 2 else base
-    rows += [(k, t) for k, t in zip(range(200, 209), ["", None, " \n", "one two", "ONE two", "one three", "a b c d e", "a b c d e f", rows[0][1].upper()], strict=True)]
+    rows += [(k, t) for k, t in zip(range(200, 211), ["", None, " \n", "one two", "ONE two", "one three", "a b c d e", "a b c d e f", rows[0][1].upper(), "p q r s t " * 4, "p q r s t " * 4 + "p q r s t p"], strict=True)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r["doc_id"]: r["component_id"] for r in simhash.near_dedup(docs).collect()} == brute.near(rows)
 
