@@ -46,12 +46,22 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.select(*[changed[c].cast(docs.schema[c].dataType).alias(c) if c in changed else F.col(f"`{c}`") for c in docs.columns])
 
 
+def _named(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``__id``, by which rows are told apart in any later scan.
+
+    Rows with a null id get theirs once and are written: numbers dealt out by a scan change with the cores it is planned for.
+    """
+    own = F.col("doc_id").cast("long")
+    nameless = docs.where(own.isNull()).withColumn("__id", F.lit(2**62) + F.monotonically_increasing_id())
+    return docs.where(own.isNotNull()).withColumn("__id", own).union(materialize(nameless, "nameless"))
+
+
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id; rows repeated with one id become one.
 
     Near copies are within two bits of fingerprint or share five-word shingles to a similarity of 0.8.
     """
-    named = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(2**62) + F.monotonically_increasing_id()))
+    named = _named(docs)
     grouped = _simhash.near_dedup(named, "__id")
     stays = grouped.where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
     return named.join(stays, "__id", "left_semi").dropDuplicates(["__id"]).select(*_columns(docs))

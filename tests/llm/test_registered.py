@@ -159,3 +159,24 @@ def test_pipeline_edges(spark, tmp_path):
                 out.write.parquet(str(tmp_path / f"{k}{name}"))
                 docs = spark.read.parquet(str(tmp_path / f"{k}{name}"))
         assert (out.count() > 0) == bool(part)
+
+
+def test_pipeline_null_ids(spark, tmp_path, monkeypatch):
+    """Documents with null ids stay when files are dealt to partitions anew between the jobs of a stage."""
+    rng = random.Random(8)
+    for k in range(7):
+        rows = [(None, " ".join(f"w{rng.randrange(10**6)}" for _ in range(30))) for _ in range(5 + 3 * k)]
+        spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.mode("append").parquet(str(tmp_path / "d"))
+    docs, near = spark.read.parquet(str(tmp_path / "d")), corpus_pipeline._simhash.near_dedup
+
+    def then_dealt_anew(*args):
+        grouped = near(*args)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        return grouped
+
+    monkeypatch.setattr(corpus_pipeline._simhash, "near_dedup", then_dealt_anew)
+    try:
+        kept = [r["text"] for r in corpus_pipeline.simhash_dedup(spark, docs, "").collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert sorted(kept) == sorted(r["text"] for r in docs.collect())
