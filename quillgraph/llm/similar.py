@@ -3,7 +3,7 @@
 At a similarity of 0.8 SimHash fingerprints of 64 bits are about ten bits apart, too far for a pigeonhole index that
 stays selective. Such pairs are found by bands of minimum hashes instead: texts that agree in all ``ROWS`` minima of one
 of ``BANDS`` bands share a bucket. A pair of similarity 0.8 misses all buckets with a chance of about 1e-4. Similarity is
-estimated from all minima; pairs within ``MARGIN`` of the threshold are decided by their whole shingle sets.
+estimated from all minima; pairs that aren't ``MARGIN`` below the threshold by it are decided by their whole shingle sets.
 """
 
 from __future__ import annotations
@@ -16,15 +16,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_or_empty
+from .common import discard, materialize, text_or_empty
 from .components import connected_components
 from .simhash import fold, shingle_hashes
 
 BANDS, ROWS = 40, 7
-#: About three standard deviations of the estimate at a similarity of 0.8.
-MARGIN = 0.07
-#: Members of a bucket in one block of the comparison that settles what the stars leave open.
+#: About five standard deviations of the estimate at a similarity of 0.8.
+MARGIN = 0.12
+#: Members of a bucket in one block of the comparison that settles what the stars leave open, and bytes of their shingle sets.
 BLOCK = 64
+BLOCK_BYTES = 1 << 24
 #: Rounds of comparing a bucket's members with one of them.
 STARS = 3
 
@@ -75,28 +76,33 @@ def sketches(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col: st
     return body.mapInArrow(run, _SKETCH)
 
 
+def alike(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    """Whether two shingle sets have the similarity."""
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both >= similarity * (len(x) + len(y) - both) - 1e-9
+
+
 def _estimated(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
-    """``pairs`` of digests ``a, b`` with both fingerprints and the estimated similarity, where that is ``least`` or more."""
+    """``pairs`` of digests ``a, b`` with both fingerprints, where the estimated similarity is ``least`` or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
             if not t.num_rows:
                 continue
             x, y = (np.frombuffer(b"".join(t.column(c).to_pylist()), "<u2").reshape(t.num_rows, -1) for c in ("sig_a", "sig_b"))
-            same = (x == y).mean(axis=1)
-            keep = np.flatnonzero(same >= least)
-            got = [t.column(c).take(pa.array(keep)) for c in ("a", "b", "fp_a", "fp_b")]
-            yield pa.RecordBatch.from_arrays([*got, pa.array(same[keep])], names=["a", "b", "fp_a", "fp_b", "similarity"])
+            keep = pa.array(np.flatnonzero((x == y).mean(axis=1) >= least))
+            yield t.select(["a", "b", "fp_a", "fp_b"]).take(keep)
 
     one = nodes.select(F.col("digest").alias("a"), F.col("fp").alias("fp_a"), F.col("sig").alias("sig_a"))
     two = nodes.select(F.col("digest").alias("b"), F.col("fp").alias("fp_b"), F.col("sig").alias("sig_b"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "fp_a", "fp_b", "sig_a", "sig_b").mapInArrow(run, "a binary, b binary, fp_a long, fp_b long, similarity double")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "fp_a", "fp_b", "sig_a", "sig_b").mapInArrow(run, "a binary, b binary, fp_a long, fp_b long")
 
 
-def _blocks(open_: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
-    """The pairs of different components within a bucket of ``open_`` (``key, digest, fp, root``), estimated in blocks.
+def _blocks(open_: DataFrame, nodes: DataFrame, sets: DataFrame, least: float, similarity: float) -> DataFrame:
+    """``fp_a, fp_b``: links that join the components of each bucket of ``open_`` (``key, digest, fp, root``), found in blocks.
 
-    Members outside the bucket's largest component meet all members, so the rows moved grow with the first only.
+    Members outside the bucket's largest component meet all members, so the rows moved grow with the first only. A pair
+    that the links of its block join already isn't looked at, so a block gives fewer links than it has members.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,50 +113,61 @@ def _blocks(open_: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
                 if not left or not right:
                     continue
                 sig = np.frombuffer(b"".join(m["sig"] for m in right), "<u2").reshape(len(right), -1)
-                roots = np.array([m["root"] for m in right])
-                for m in left:
+                up = {m["root"]: m["root"] for m in block}
+
+                def top(x: int, up: dict[int, int] = up) -> int:
+                    while up[x] != x:
+                        up[x] = x = up[up[x]]
+                    return x
+
+                near = []
+                for j, m in enumerate(left):
                     same = (sig == np.frombuffer(m["sig"], "<u2")).mean(axis=1)
-                    for k in np.flatnonzero((same >= least) & (roots != m["root"])):
-                        o = right[k]
-                        x, y = sorted(((m["digest"], m["fp"]), (o["digest"], o["fp"])))
-                        out.append((x[0], y[0], x[1], y[1], float(same[k])))
-            a, b, p, q, s = zip(*out, strict=True) if out else ((), (), (), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(p, pa.int64()), pa.array(q, pa.int64()), pa.array(s, pa.float64())], names=["a", "b", "fp_a", "fp_b", "similarity"])
-
-    each = open_.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
-    facts = each.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("top"))
-    facts = facts.select("key", "main", F.ceil(F.col("n") / BLOCK).alias("wide"), F.ceil((F.col("n") - F.col("top")) / BLOCK).alias("high"))
-    member = open_.join(facts, "key").join(nodes.select("digest", "sig"), "digest")
-    what = [F.struct(F.lit(side).alias("left"), "digest", "fp", "root", "sig").alias("m") for side in (True, False)]
+                    near += [(-same[k], j, k) for k in np.flatnonzero(same >= least)]
+                for _, j, k in sorted(near):  # the likeliest first
+                    m, o = left[j], right[k]
+                    x, y = top(m["root"]), top(o["root"])
+                    if x != y and alike(np.frombuffer(m["hashes"], "<u8"), np.frombuffer(o["hashes"], "<u8"), similarity):
+                        up[x] = y
+                        out.append(sorted((m["fp"], o["fp"])))
+            a, b = zip(*out, strict=True) if out else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["fp_a", "fp_b"])
+
+    sized = open_.join(sets.select("digest", F.octet_length("hashes").alias("bytes")), "digest")
+    each = sized.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
+    facts = each.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("top"), F.sum("bytes").alias("bytes"))
+    parts = lambda n: F.greatest(F.ceil(n / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES))
+    facts = facts.select("key", "main", parts(F.col("n")).alias("wide"), parts(F.col("n") - F.col("top")).alias("high"))
+    member = open_.join(facts, "key").join(nodes.select("digest", "sig"), "digest").join(sets, "digest")
+    what = [F.struct(F.lit(side).alias("left"), "fp", "root", "sig", "hashes").alias("m") for side in (True, False)]
     left = member.where("root <> main").select("key", F.pmod(F.xxhash64("digest", F.lit(1)), "high").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("wide") - 1)).alias("j"), what[0])
     right = member.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("high") - 1)).alias("i"), F.pmod(F.xxhash64("digest", F.lit(2)), "wide").alias("j"), what[1])
     blocks = left.unionByName(right).groupBy("key", "i", "j").agg(F.collect_list("m").alias("block"))
-    return blocks.select("block").mapInArrow(run, "a binary, b binary, fp_a long, fp_b long, similarity double").dropDuplicates(["a", "b"])
+    return blocks.select("block").mapInArrow(run, "fp_a long, fp_b long").distinct()
 
 
-def _checked(pairs: DataFrame, docs: DataFrame, prints: DataFrame, shingle: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
-    """Of estimated pairs near the threshold, those whose whole shingle sets have the similarity."""
+def _sets(asked: DataFrame, docs: DataFrame, prints: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
+    """``digest, hashes``: the whole shingle sets of the different digests ``asked``."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("digest"), pa.array([shingle_set(x.as_py(), shingle).tobytes() for x in b.column("body")], pa.binary())], names=["digest", "hashes"])
 
+    chosen = prints.join(asked, "digest", "left_semi").groupBy("digest").agg(F.min("doc_id").alias("__chosen"))
+    body = docs.select(F.col(id_col).cast("long").alias("__chosen"), text_or_empty(text_col).cast("binary").alias("body"))
+    held = body.join(chosen, "__chosen").select("digest", "body").mapInArrow(sets, "digest binary, hashes binary").dropDuplicates(["digest"])
+    return materialize(held, "sets")
+
+
+def _checked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Of estimated pairs, those whose whole shingle sets have the similarity."""
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
-            keep = []
-            for k, (x, y) in enumerate(zip(t.column("x"), t.column("y"), strict=True)):
-                p, q = np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8")
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                if both >= similarity * (len(p) + len(q) - both) - 1e-9:
-                    keep.append(k)
+            keep = [k for k, (x, y) in enumerate(zip(t.column("x"), t.column("y"), strict=True)) if alike(np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8"), similarity)]
             yield t.select(["fp_a", "fp_b"]).take(pa.array(keep, pa.int64()))
 
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
-    chosen = prints.join(asked, "digest", "left_semi").groupBy("digest").agg(F.min("doc_id").alias("__chosen"))
-    body = docs.select(F.col(id_col).cast("long").alias("__chosen"), text_or_empty(text_col).cast("binary").alias("body"))
-    held = body.join(chosen, "__chosen").select("digest", "body").mapInArrow(sets, "digest binary, hashes binary").dropDuplicates(["digest"])
-    held = materialize(held, "sets")
-    met = pairs.join(held.select(F.col("digest").alias("a"), F.col("hashes").alias("x")), "a").join(held.select(F.col("digest").alias("b"), F.col("hashes").alias("y")), "b")
+    met = pairs.join(sets.select(F.col("digest").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("digest").alias("b"), F.col("hashes").alias("y")), "b")
     return met.select("fp_a", "fp_b", "x", "y").mapInArrow(compare, "fp_a long, fp_b long")
 
 
@@ -170,11 +187,15 @@ def similar_links(docs: DataFrame, prints: DataFrame, near: DataFrame, shingle:
     same = same.join(same.groupBy("digest").agg(F.min("a").alias("b")), "digest").where("a <> b").select("a", "b")
     links, least = materialize(near.select("a", "b").unionByName(same), "near-same"), similarity - MARGIN
 
+    def sets_of(asked: DataFrame) -> DataFrame:
+        return _sets(asked.distinct(), docs, prints, shingle, id_col, text_col)
+
     def decided(pairs: DataFrame) -> DataFrame:
         pairs = materialize(pairs, "estimated")
-        sure = pairs.where(F.col("similarity") >= similarity + MARGIN).select("fp_a", "fp_b")
-        checked = _checked(pairs.where(F.col("similarity") < similarity + MARGIN), docs, prints, shingle, similarity, id_col, text_col)
-        return materialize(sure.unionByName(checked).where("fp_a <> fp_b").toDF("a", "b"), "similar")
+        sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("digest")))
+        out = materialize(_checked(pairs, sets, similarity).where("fp_a <> fp_b").toDF("a", "b"), "similar")
+        discard(sets)
+        return out
 
     def rooted() -> DataFrame:
         found = connected_components(links)
@@ -192,4 +213,6 @@ def similar_links(docs: DataFrame, prints: DataFrame, near: DataFrame, shingle:
         met = first.select(F.least("digest", "c.digest").alias("a"), F.greatest("digest", "c.digest").alias("b")).distinct()
         links = links.unionByName(decided(_estimated(met, nodes, least)))
     open_ = rooted()
-    return links if open_.isEmpty() else links.unionByName(decided(_blocks(open_, nodes, least)))
+    if open_.isEmpty():
+        return links
+    return links.unionByName(_blocks(open_, nodes, sets_of(open_.select("digest")), least, similarity).toDF("a", "b"))

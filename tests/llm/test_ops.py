@@ -319,6 +319,26 @@ def test_near_texts(spark, block, stars, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in simhash.near_dedup(docs).collect()} == brute.near(rows)
 
 
+@pytest.mark.parametrize("stars", [0, 2])
+def test_near_texts_misjudged(spark, stars, monkeypatch):
+    """Pairs at the threshold and just under it whose estimates are far off, decided by their whole sets."""
+    monkeypatch.setattr(similar, "STARS", stars)
+    texts, expected = [], {}
+    for seed, n in ((315, 184), (2363, 184), (1449, 180), (6752, 180)):  # estimates 0.725, 0.721, 0.875, 0.879
+        rng = random.Random(seed)
+        a = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        b = list(a)
+        for k in range(4):
+            b[n // 5 * (k + 1)] = f"v{rng.randrange(10**6)}"
+        x, y = (similar.minima(similar.shingle_set(" ".join(t).encode(), 5)) for t in (a, b))
+        assert abs((x == y).mean() - 0.8) > 0.07 and (brute.jaccard(" ".join(a), " ".join(b)) >= 0.8) == (n == 184)
+        k = len(texts)
+        texts += [" ".join(a), " ".join(b)]
+        expected |= {k: k, k + 1: k if n == 184 else k + 1}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in simhash.near_dedup(docs).collect()} == expected
+
+
 def test_near_texts_edges(spark):
     """Null ids, rows repeated with one id, clashing columns, an empty table."""
     docs = spark.createDataFrame([(None, "a b c d e f", 1), (4, "x y z", 2), (4, "x y z", 3), (2, "A B c d e f", 4)], "doc_id long, text string, fp int")
