@@ -36,34 +36,50 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines repeated from earlier ones; those of which nothing but white space is left go.
 
-    ``n_chars``, where there is such a column, follows the text.
+    Rows that share an id but not a text are documents of their own. ``n_chars``, where there is such a column, follows the text.
     """
-    decided = _line_dedup.line_dedup(docs).where("n_removed > 0").select(F.col("doc_id").alias("__id"), F.col("text").alias("__text")).dropDuplicates(["__id"])
-    out = docs.join(decided, F.col("doc_id") == F.col("__id"), "left").where(F.col("__id").isNull() | F.col("__text").rlike(r"\S"))
+    key = [F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")]
+    decided = _line_dedup.line_dedup(docs, by_text=True).where("n_removed > 0").select(*key, F.col("text").alias("__text")).dropDuplicates(["__id", "__digest"])
+    same = (F.col("doc_id") == F.col("__id")) & (_line_dedup.text_digest() == F.col("__digest"))
+    out = docs.join(decided, same, "left").where(F.col("__id").isNull() | F.col("__text").rlike(r"\S"))
     changed = {"text": F.coalesce("__text", "text")}
     if "n_chars" in docs.columns:
         changed["n_chars"] = F.when(F.col("__id").isNotNull(), F.length("__text").cast("long")).otherwise(F.col("n_chars"))
     return out.select(*[changed[c].cast(docs.schema[c].dataType).alias(c) if c in changed else F.col(f"`{c}`") for c in docs.columns])
 
 
-def _named(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``__id``, by which rows are told apart in any later scan.
+def _named(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``docs`` with ``__id``, by which different documents are told apart in any later scan, and the ids that were dealt out.
 
-    Rows with a null id get theirs once and are written: numbers dealt out by a scan change with the cores it is planned for.
+    Rows with a null id, and all but one of the texts that share an id, get theirs once and are written: numbers dealt out by
+    a scan change with the cores it is planned for. The second table has ``__id`` and the ``own`` id, null if there is none.
     """
-    own = F.col("doc_id").cast("long")
-    nameless = docs.where(own.isNull()).withColumn("__id", F.lit(2**62) + F.monotonically_increasing_id())
-    return docs.where(own.isNotNull()).withColumn("__id", own).union(materialize(nameless, "nameless"))
+    own, digest = F.col("doc_id").cast("long"), _line_dedup.text_digest()
+    texts = docs.where(own.isNotNull()).groupBy(own.alias("__own")).agg(F.min(digest).alias("__first"), F.max(digest).alias("__last"))
+    shared = materialize(texts.where("__first <> __last").select("__own", "__first"), "shared-ids")
+    named, other = docs.where(own.isNotNull()).withColumn("__id", own), docs.where(own.isNull())
+    if not shared.isEmpty():
+        met = named.join(shared, F.col("__id") == F.col("__own"), "left").withColumn("__digest", digest)
+        named = met.where(F.col("__own").isNull() | (F.col("__digest") == F.col("__first"))).drop("__own", "__first", "__digest")
+        other = other.union(met.where(F.col("__digest") != F.col("__first")).dropDuplicates(["__id", "__digest"]).select(*_columns(docs)))
+    dealt = materialize(other.withColumn("__id", F.lit(2**62) + F.monotonically_increasing_id()), "dealt-ids")
+    return named.union(dealt), dealt.select("__id", own.alias("own"))
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id; rows repeated with one id become one.
+    """Of each group of near copies the document with the smallest id; rows repeated with one id and text become one.
 
-    Near copies are within two bits of fingerprint or share five-word shingles to a similarity of 0.8.
+    Near copies are within two bits of fingerprint or share five-word shingles to a similarity of 0.8. Rows that share an id
+    but not a text are documents of their own. Those without an id come last.
     """
-    named = _named(docs)
-    grouped = _simhash.near_dedup(named, "__id")
-    stays = grouped.where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
+    named, dealt = _named(docs)
+    grouped = _simhash.near_dedup(named, "__id").select(F.col("doc_id").alias("__id"), "component_id")
+    if not dealt.isEmpty():
+        place = F.struct(F.coalesce("own", "__id"), "__id")
+        first = grouped.join(dealt, "__id", "left").groupBy("component_id").agg(F.min(place).alias("first"))
+        stays = first.select("first.__id")
+    else:
+        stays = grouped.where("__id = component_id").select("__id").distinct()
     return named.join(stays, "__id", "left_semi").dropDuplicates(["__id"]).select(*_columns(docs))
 
 

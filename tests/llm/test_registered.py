@@ -180,3 +180,18 @@ def test_pipeline_null_ids(spark, tmp_path, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.files.openCostInBytes")
     assert sorted(kept) == sorted(r["text"] for r in docs.collect())
+
+
+def test_pipeline_shared_ids(spark):
+    """Different texts of one id are documents of their own, where lines are removed and where near copies are."""
+    rng = random.Random(9)
+    one, two, three = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(40)) for _ in range(3))
+    shared = "first shared line\nsecond shared line\nthird shared line"
+    rows = [(1, shared + "\nx"), (4, f"{one}\n{shared}"), (4, two), (4, two), (4, None), (5, f"{three}\n{shared}\n{one}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = corpus_pipeline.line_dedup(spark, docs, "").collect()
+    assert sorted((r["doc_id"], r["text"] or "") for r in found) == sorted([(1, shared + "\nx"), (4, one), (4, two), (4, two), (4, ""), (5, f"{three}\n{one}")])
+    rows = [(4, one), (4, two), (4, two), (2, "other words " * 9), (6, one), (7, two), (None, two), (None, three), (8, three)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = corpus_pipeline.simhash_dedup(spark, docs, "").collect()
+    assert sorted((r["doc_id"], r["text"]) for r in found) == sorted([(4, one), (4, two), (2, "other words " * 9), (8, three)])
