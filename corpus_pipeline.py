@@ -28,7 +28,12 @@ def _columns(docs: DataFrame) -> list:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that can be told; texts that are null or without a letter go."""
+    """Documents in a language that can be told; texts that are null or without a letter go.
+
+    If there is no row to learn a language from, all texts with a letter stay.
+    """
+    if _lang_id.learnable(docs).isEmpty():
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     said = _lang_id.lang_id(docs, vocabulary("piece_bpe_32k.model"), keep=True)
     return said.where((F.col("__lang") != "und") & (F.col("__score") >= LEAST_SCORE)).select(*_columns(docs))
 

@@ -265,6 +265,11 @@ def held_out_rule(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
 
 
+def learnable(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows that may be learned from: labelled, with id and text, and not held out."""
+    return docs.where(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out_rule(id_col))
+
+
 def lang_id(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS, keep: bool = False) -> DataFrame:
     """The language of every whole text, among those of the labelled rows that aren't held out.
 
@@ -275,7 +280,7 @@ def lang_id(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_
     An empty table gives an empty result.
     """
     vocabulary = load_vocabulary(vocabulary_path)
-    usable = docs.where(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out_rule(id_col))
+    usable = learnable(docs, id_col, text_col, lang_col)
     langs, p = train(usable.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("body"), F.col(lang_col).alias("lang")), vocabulary, sample_docs)
     model = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, vocabulary, langs, p))  # vocabulary times languages
 

@@ -195,3 +195,10 @@ def test_pipeline_shared_ids(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     found = corpus_pipeline.simhash_dedup(spark, docs, "").collect()
     assert sorted((r["doc_id"], r["text"]) for r in found) == sorted([(4, one), (4, two), (2, "other words " * 9), (8, three)])
+
+
+def test_pipeline_without_languages(spark):
+    """Nothing to learn a language from: texts with a letter stay."""
+    rows = [(1, "some words", None), (2, "é", None), (3, "12 !?", None), (4, None, "en"), (None, "more words", "en"), (5, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in corpus_pipeline.language_id(spark, docs, "").collect()) == [(0, "more words"), (1, "some words"), (2, "é")]
