@@ -8,7 +8,8 @@ fingerprint under its exact partition values; probes enumerate values within T_i
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 from math import comb
 
 import numpy as np
@@ -21,8 +22,8 @@ from .common import discard, materialize, text_or_empty
 from .components import connected_components
 
 BITS, SEED, SHINGLE, DISTANCE = 64, 42, 3, 2
-#: A partition value shared by more fingerprints than this is handled without pairs.
-BUCKET = 64
+#: A partition value shared by more fingerprints than this is partitioned again by the other bits, down to so few of these.
+BUCKET, FEW_BITS = 64, 12
 #: Relative cost of one probe, with one verified candidate as the unit.
 PROBE_COST = 2.0
 
@@ -90,15 +91,16 @@ def bit_statistics(fps: DataFrame) -> tuple[int, np.ndarray]:
     return int(flat[-1]), flat[:-1].reshape(BITS, BITS)
 
 
-def arrange(n: int, both: np.ndarray, parts: int) -> list[list[int]]:
+def arrange(n: int, both: np.ndarray, parts: int, among: Iterable[int] = range(BITS)) -> list[list[int]]:
     """Bits in ``parts`` partitions of about equal size, each grown from the bits most correlated with it."""
     p = np.diag(both) / max(n, 1)
     dev = np.sqrt(np.maximum(p * (1 - p), 1e-9))
     corr = np.abs(both / max(n, 1) - np.outer(p, p)) / np.outer(dev, dev)
     np.fill_diagonal(corr, 0)
-    free, out = set(range(BITS)), []
+    free, out = set(among), []
+    bits = len(free)
     for k in range(parts):
-        size = (BITS * (k + 1)) // parts - (BITS * k) // parts
+        size = (bits * (k + 1)) // parts - (bits * k) // parts
         group = [max(free, key=lambda b: (corr[b, list(free)].sum(), -b))]
         free.discard(group[0])
         while len(group) < size:
@@ -151,29 +153,78 @@ def _flips(bits: list[int], most: int) -> list[int]:
     return out
 
 
-def links(fps: DataFrame, chosen: list[tuple[list[int], int]], distance: int = DISTANCE, bucket: int = BUCKET) -> DataFrame:
-    """``a, b``: links between distinct fingerprints ``fp``, whose components are those of all pairs within ``distance`` bits.
+def _within(pairs: DataFrame, distance: int) -> DataFrame:
+    """Of candidates ``fp, other`` the links ``a < b``."""
+    near = pairs.where((F.col("fp") != F.col("other")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= distance))
+    return near.select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b"))
+
+
+def _mask(bits: list[int]) -> int:
+    return _signed(sum(1 << b for b in bits))
+
+
+def _values(rows: DataFrame, entries: list[list[tuple[int, int, int]]]) -> DataFrame:
+    """``path, key, fp, flipped``: rows ``path, key, fp`` under each of their path's (new path, mask, flip)."""
+    table = rows.sparkSession.createDataFrame([(k, *e) for k, es in enumerate(entries) for e in es], "path int, to int, mask long, flip long")
+    value = F.col("fp").bitwiseXOR(F.col("flip")).bitwiseAND(F.col("mask"))
+    each = rows.join(F.broadcast(table), "path")  # as many entries as the partitions have, whatever the data
+    return each.select(F.col("to").alias("path"), F.xxhash64("key", "to", value).alias("key"), "fp", (F.col("flip") != 0).alias("flipped"))
+
+
+def _inside(crowd: DataFrame, rest: list[list[int]], distance: int, bucket: int, pick: Callable[[list[int]], list[list[int]]]) -> list[DataFrame]:
+    """Links inside crowded values: rows ``path, key, fp``, where fingerprints of one key agree in all bits but ``rest[path]``.
+
+    The bits left are partitioned again, with ``distance`` + 1 partitions and thresholds of zero; values that are crowded still
+    go on with what is left then. Few bits are one partition with the whole threshold, whose values are single fingerprints.
+    """
+    out = []
+    while not crowd.isEmpty():
+        index, probe, after = [], [], []
+        for bits in rest:
+            if len(bits) <= FEW_BITS:
+                own = [(len(after), bits, distance)]
+                after.append([])
+            else:
+                own = [(len(after) + k, part, 0) for k, part in enumerate(pick(bits))]
+                after += [[b for b in bits if b not in part] for _, part, _ in own]
+            index.append([(to, _mask(part), 0) for to, part, _ in own])
+            probe.append([(to, _mask(part), _signed(f)) for to, part, t in own for f in _flips(part, t)])
+        held, asked = _values(crowd, index), _values(crowd, probe)
+        count = held.groupBy("path", "key").agg(F.count(F.lit(1)).alias("n"))
+        last = [k for k, bits in enumerate(after) if not bits]
+        large = count.where(~F.col("path").isin(last)).where((F.col("n") > bucket) & (F.col("n") > 1)).select("path", "key")
+        small = count.where(F.col("path").isin(last) | ((F.col("n") > 1) & (F.col("n") <= bucket))).select("path", "key")
+        pairs = held.join(small, ["path", "key"], "left_semi").select("path", "key", "fp").join(asked.select("path", "key", F.col("fp").alias("other"), "flipped"), ["path", "key"])
+        out.append(_within(pairs.where(F.col("flipped") | (F.col("fp") < F.col("other"))), distance))
+        crowd, rest = materialize(held.join(large, ["path", "key"], "left_semi").select("path", "key", "fp").distinct(), "crowded"), after
+    return out
+
+
+def links(fps: DataFrame, chosen: list[tuple[list[int], int]], distance: int = DISTANCE, bucket: int = BUCKET, pick: Callable[[list[int]], list[list[int]]] | None = None) -> DataFrame:
+    """``a, b``: all pairs of distinct fingerprints ``fp`` within ``distance`` bits.
 
     A partition value of at most ``bucket`` fingerprints is joined to its probes and verified pair by pair. Fingerprints in
-    or probing a larger one are linked through the values one flip away, which two of them share exactly if they are
-    within two bits: 65 rows a fingerprint and 65 fingerprints a value at most, however large the bucket.
+    or probing a larger one are partitioned anew by their other bits, as ``pick`` deals these (unset, evenly), so that a
+    value that very many share is never paired with itself.
     """
-    if distance != 2:
-        raise ValueError("large buckets are linked for a distance of two bits")
-    masks = [_signed(sum(1 << b for b in bits)) for bits, _ in chosen]
-    index = fps.select("fp", F.explode(F.array(*[F.struct(F.lit(k).alias("part"), F.col("fp").bitwiseAND(F.lit(m)).alias("value")) for k, m in enumerate(masks)])).alias("x")).select("fp", "x.*")
-    near = [F.struct(F.lit(k).alias("part"), F.col("fp").bitwiseXOR(F.lit(_signed(f))).bitwiseAND(F.lit(masks[k])).alias("value")) for k, (bits, t) in enumerate(chosen) for f in _flips(bits, t)]
+    pick = pick or (lambda bits: [bits[k :: distance + 1] for k in range(distance + 1)])
+    masks = [_mask(bits) for bits, _ in chosen]
+    index = fps.select("fp", F.explode(F.array(*[F.struct(F.lit(k).alias("path"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for k, m in enumerate(masks)])).alias("x")).select("fp", "x.*")
+    near = [F.struct(F.lit(k).alias("path"), F.col("fp").bitwiseXOR(F.lit(_signed(f))).bitwiseAND(F.lit(masks[k])).alias("key")) for k, (bits, t) in enumerate(chosen) for f in _flips(bits, t)]
     probe = fps.select(F.col("fp").alias("other"), F.explode(F.array(*near)).alias("x")).select("other", "x.*")
-    held = index.groupBy("part", "value").agg(F.count(F.lit(1)).alias("n"))
-    large = held.where(F.col("n") > bucket).select("part", "value")
-    small = held.where((F.col("n") > 1) | F.lit(any(t for _, t in chosen))).where(F.col("n") <= bucket).select("part", "value")
-    pairs = index.join(small, ["part", "value"], "left_semi").join(probe, ["part", "value"]).where(F.col("fp") != F.col("other"))
-    pairs = pairs.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= distance).select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b"))
-    crowd = probe.join(large, ["part", "value"], "left_semi").select(F.col("other").alias("fp")).distinct()
-    around = [F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(_signed(1 << b))) for b in range(BITS)]]
-    shared = crowd.select("fp", F.explode(F.array(*around)).alias("via")).groupBy("via").agg(F.sort_array(F.collect_list("fp")).alias("fps")).where(F.size("fps") > 1)
-    stars = shared.select(F.col("fps")[0].alias("a"), F.explode(F.slice("fps", 2, BITS + 1)).alias("b"))
-    return pairs.unionByName(stars).distinct()
+    held = index.groupBy("path", "key").agg(F.count(F.lit(1)).alias("n"))
+    large = held.where((F.col("n") > bucket) & (F.col("n") > 1)).select("path", "key")
+    small = held.where((F.col("n") > 1) | F.lit(any(t for _, t in chosen))).where((F.col("n") <= bucket) | (F.col("n") == 1)).select("path", "key")
+    pairs = [_within(index.join(small, ["path", "key"], "left_semi").join(probe, ["path", "key"]), distance)]
+    crowd = materialize(probe.join(large, ["path", "key"], "left_semi").select("path", "key", F.col("other").alias("fp")).distinct(), "crowded")
+    pairs += _inside(crowd, [[b for b in range(BITS) if b not in bits] for bits, _ in chosen], distance, bucket, pick)
+    return reduce(DataFrame.unionByName, pairs).distinct()
+
+
+def near_links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """``links`` with partitions and thresholds planned from the fingerprints' own statistics."""
+    n, both = bit_statistics(fps)
+    return links(fps, plan(n, both, distance), distance, pick=lambda bits: arrange(n, both, distance + 1, bits))
 
 
 def _grouped(prints: DataFrame, classes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -196,8 +247,7 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     prints = materialize(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("top")), "fingerprint-classes")
-    n, both = bit_statistics(classes)
-    return _grouped(prints, classes, links(classes.select("fp"), plan(n, both)))
+    return _grouped(prints, classes, near_links(classes.select("fp")))
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -210,8 +260,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     held = materialize(sketches(docs, shingle, id_col, text_col), "sketches")
     prints = materialize(held.select("doc_id", "fp"), "fingerprints")
     classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("top")), "fingerprint-classes")
-    n, both = bit_statistics(classes)
-    near = materialize(links(classes.select("fp"), plan(n, both)), "near")
+    near = materialize(near_links(classes.select("fp")), "near")
     edges = materialize(similar_links(docs, held, near, shingle, similarity, id_col, text_col), "near-all")
     discard(held)
     return _grouped(prints, classes, edges)

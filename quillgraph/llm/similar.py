@@ -2,8 +2,8 @@
 
 At a similarity of 0.8 SimHash fingerprints of 64 bits are about ten bits apart, too far for a pigeonhole index that
 stays selective. Such pairs are found by bands of minimum hashes instead: texts that agree in all ``ROWS`` minima of one
-of ``BANDS`` bands share a bucket. A pair of similarity 0.8 misses all buckets with a chance of about 1e-4. Similarity is
-estimated from all minima; pairs that aren't ``MARGIN`` below the threshold by it are decided by their whole shingle sets.
+of ``BANDS`` bands share a bucket. A pair of similarity 0.8 misses all buckets with a chance of about 1e-4. Every pair that
+is looked at is decided by its whole shingle sets.
 """
 
 from __future__ import annotations
@@ -16,22 +16,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, text_or_empty
+from .common import materialize, text_or_empty
 from .components import connected_components
 from .simhash import fold, shingle_hashes
 
 BANDS, ROWS = 40, 7
-#: About five standard deviations of the estimate at a similarity of 0.8.
-MARGIN = 0.12
-#: Members of a bucket in one block of the comparison that settles what the stars leave open, and bytes of their shingle sets.
-BLOCK = 64
-BLOCK_BYTES = 1 << 24
+#: Members of a bucket, and bytes of their shingle sets, on each side of one block of the comparison that settles what the
+#: stars leave open.
+BLOCK, BLOCK_BYTES = 1024, 1 << 22
 #: Rounds of comparing a bucket's members with one of them.
 STARS = 3
 
 _SCALE, _SHIFT = np.random.default_rng(7).integers(0, 2**64, (2, BANDS * ROWS), dtype=np.uint64)
 _SCALE |= np.uint64(1)
-_SKETCH = "doc_id long, fp long, digest binary, sig binary, keys array<long>"
+_SKETCH = "doc_id long, fp long, digest binary, keys array<long>"
 
 
 def minima(hashes: np.ndarray) -> np.ndarray:
@@ -49,101 +47,97 @@ def shingle_set(text: bytes, shingle: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, fp, digest, sig, keys``: fingerprint, digest of the shingle set, its minima and bucket keys.
+    """``doc_id, fp, digest, keys``: fingerprint, digest of the shingle set, and bucket keys.
 
-    The last three are null for a text without words.
+    The last two are null for a text without words.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps, digests, sigs, keys = [], [], [], []
+            fps, digests, keys = [], [], []
             for x in b.column("body"):
                 parts = list(shingle_hashes(x.as_py(), shingle))
                 fps.append(fold(parts))
                 if not parts:
-                    digests.append(None), sigs.append(None), keys.append(None)
+                    digests.append(None), keys.append(None)
                     continue
                 own = np.unique(np.concatenate(parts))
                 sig = minima(own)
                 digests.append(xxhash.xxh3_128_digest(own.tobytes()))
-                sigs.append((sig & 0xFFFF).astype("<u2").tobytes())  # enough to estimate by
                 bands = [xxhash.xxh64_intdigest(sig[k * ROWS : (k + 1) * ROWS].tobytes(), k) for k in range(BANDS)]
                 keys.append(np.array(bands, np.uint64).view(np.int64).tolist())
             fp = pa.array(np.array(fps, np.uint64).view(np.int64), pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), fp, pa.array(digests, pa.binary()), pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "fp", "digest", "sig", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), fp, pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "fp", "digest", "keys"])
 
     body = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).cast("binary").alias("body"))
     return body.mapInArrow(run, _SKETCH)
 
 
-def alike(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
-    """Whether two shingle sets have the similarity."""
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return both >= similarity * (len(x) + len(y) - both) - 1e-9
+def alike(both: np.ndarray, x: np.ndarray, y: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets of sizes ``x`` and ``y`` with ``both`` members in common have the similarity."""
+    return both >= similarity * (x + y - both) - 1e-9
 
 
-def _estimated(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
-    """``pairs`` of digests ``a, b`` with both fingerprints, where the estimated similarity is ``least`` or more."""
+def forest(sets: list[np.ndarray], roots: np.ndarray, left: np.ndarray, right: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Pairs of a member in ``left`` and one in ``right`` that join the components ``roots`` of members, as all similar pairs would.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in batches:
-            if not t.num_rows:
-                continue
-            x, y = (np.frombuffer(b"".join(t.column(c).to_pylist()), "<u2").reshape(t.num_rows, -1) for c in ("sig_a", "sig_b"))
-            keep = pa.array(np.flatnonzero((x == y).mean(axis=1) >= least))
-            yield t.select(["a", "b", "fp_a", "fp_b"]).take(keep)
-
-    one = nodes.select(F.col("digest").alias("a"), F.col("fp").alias("fp_a"), F.col("sig").alias("sig_a"))
-    two = nodes.select(F.col("digest").alias("b"), F.col("fp").alias("fp_b"), F.col("sig").alias("sig_b"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "fp_a", "fp_b", "sig_a", "sig_b").mapInArrow(run, "a binary, b binary, fp_a long, fp_b long")
-
-
-def _blocks(open_: DataFrame, nodes: DataFrame, sets: DataFrame, least: float, similarity: float) -> DataFrame:
-    """``fp_a, fp_b``: links that join the components of each bucket of ``open_`` (``key, digest, fp, root``), found in blocks.
-
-    Members outside the bucket's largest component meet all members, so the rows moved grow with the first only. A pair
-    that the links of its block join already isn't looked at, so a block gives fewer links than it has members.
+    Each member of ``left`` meets all of ``right`` that isn't joined to it yet, by whole sets. A pair is given only if it joins
+    two components, so there are fewer pairs than members.
+    """
+    out, roots = [], roots.copy()
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    if not len(left) or not len(right) or not size.sum():
+        return out
+    known, number = np.unique(np.concatenate(sets), return_inverse=True)
+    ends = np.cumsum(size)
+    own = [number[b - n : b] for n, b in zip(size.tolist(), ends.tolist(), strict=True)]
+    mine = np.zeros(len(known), bool)
+    for a in left.tolist():
+        other = right[(roots[right] != roots[a]) & (size[right] >= similarity * size[a] - 1e-9) & (similarity * size[right] <= size[a] + 1e-9)]
+        if not len(other) or not size[a]:
+            continue
+        mine[own[a]] = True
+        hits = mine[np.concatenate([own[k] for k in other.tolist()])]
+        both = np.add.reduceat(hits.astype(np.int64), np.cumsum(size[other]) - size[other])
+        mine[own[a]] = False
+        for b in other[alike(both, size[other], size[a], similarity)].tolist():
+            if roots[a] != roots[b]:
+                roots[roots == roots[b]] = roots[a]
+                out.append((a, b))
+    return out
+
+
+def _blocks(open_: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """``a, b``: links of fingerprints that join the components of each bucket of ``open_`` (``key, digest, fp, root``), found in blocks.
+
+    Members outside the bucket's largest component meet all members. A block holds at most about ``BLOCK`` members of either
+    side, and gives fewer links than members.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
             out = []
-            for block in t.column("block").to_pylist():
-                left, right = ([m for m in block if m["left"] is side] for side in (True, False))
-                if not left or not right:
-                    continue
-                sig = np.frombuffer(b"".join(m["sig"] for m in right), "<u2").reshape(len(right), -1)
-                up = {m["root"]: m["root"] for m in block}
-
-                def top(x: int, up: dict[int, int] = up) -> int:
-                    while up[x] != x:
-                        up[x] = x = up[up[x]]
-                    return x
-
-                near = []
-                for j, m in enumerate(left):
-                    same = (sig == np.frombuffer(m["sig"], "<u2")).mean(axis=1)
-                    near += [(-same[k], j, k) for k in np.flatnonzero(same >= least)]
-                for _, j, k in sorted(near):  # the likeliest first
-                    m, o = left[j], right[k]
-                    x, y = top(m["root"]), top(o["root"])
-                    if x != y and alike(np.frombuffer(m["hashes"], "<u8"), np.frombuffer(o["hashes"], "<u8"), similarity):
-                        up[x] = y
-                        out.append(sorted((m["fp"], o["fp"])))
+            for block in t.column("block"):
+                block = block.as_py()
+                side = np.array([m["left"] for m in block], bool)
+                _, roots = np.unique(np.array([m["root"] for m in block], np.int64), return_inverse=True)
+                met = forest([np.frombuffer(m["hashes"], "<u8") for m in block], roots, np.flatnonzero(side), np.flatnonzero(~side), similarity)
+                out += [(block[x]["fp"], block[y]["fp"]) for x, y in met]
             a, b = zip(*out, strict=True) if out else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["fp_a", "fp_b"])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     sized = open_.join(sets.select("digest", F.octet_length("hashes").alias("bytes")), "digest")
     each = sized.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
-    facts = each.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("top"), F.sum("bytes").alias("bytes"))
-    parts = lambda n: F.greatest(F.ceil(n / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES))
-    facts = facts.select("key", "main", parts(F.col("n")).alias("wide"), parts(F.col("n") - F.col("top")).alias("high"))
-    member = open_.join(facts, "key").join(nodes.select("digest", "sig"), "digest").join(sets, "digest")
-    what = [F.struct(F.lit(side).alias("left"), "fp", "root", "sig", "hashes").alias("m") for side in (True, False)]
+    most = F.struct("n", "root", "bytes")
+    facts = each.groupBy("key").agg(F.max(most).alias("most"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
+    parts = lambda n, size: F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_BYTES), F.lit(1))
+    facts = facts.select("key", F.col("most.root").alias("main"), parts(F.col("n"), F.col("bytes")).alias("wide"), parts(F.col("n") - F.col("most.n"), F.col("bytes") - F.col("most.bytes")).alias("high"))
+    member = open_.join(facts, "key").join(sets, "digest")
+    what = [F.struct(F.lit(side).alias("left"), "fp", "root", "hashes").alias("m") for side in (True, False)]
     left = member.where("root <> main").select("key", F.pmod(F.xxhash64("digest", F.lit(1)), "high").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("wide") - 1)).alias("j"), what[0])
     right = member.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("high") - 1)).alias("i"), F.pmod(F.xxhash64("digest", F.lit(2)), "wide").alias("j"), what[1])
     blocks = left.unionByName(right).groupBy("key", "i", "j").agg(F.collect_list("m").alias("block"))
-    return blocks.select("block").mapInArrow(run, "fp_a long, fp_b long").distinct()
+    return blocks.select("block").mapInArrow(run, "a long, b long").where("a <> b").distinct()
 
 
 def _sets(asked: DataFrame, docs: DataFrame, prints: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
@@ -160,15 +154,19 @@ def _sets(asked: DataFrame, docs: DataFrame, prints: DataFrame, shingle: int, id
 
 
 def _checked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Of estimated pairs, those whose whole shingle sets have the similarity."""
+    """``a, b``: of pairs ``x, fp_x, y, fp_y`` of digests and fingerprints, the fingerprints of those whose whole shingle sets have the similarity."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
-            keep = [k for k, (x, y) in enumerate(zip(t.column("x"), t.column("y"), strict=True)) if alike(np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8"), similarity)]
-            yield t.select(["fp_a", "fp_b"]).take(pa.array(keep, pa.int64()))
+            keep = []
+            for k, pair in enumerate(zip(t.column("one"), t.column("two"), strict=True)):
+                x, y = (np.frombuffer(p.as_py(), "<u8") for p in pair)
+                if alike(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), similarity):
+                    keep.append(k)
+            yield t.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
-    met = pairs.join(sets.select(F.col("digest").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("digest").alias("b"), F.col("hashes").alias("y")), "b")
-    return met.select("fp_a", "fp_b", "x", "y").mapInArrow(compare, "fp_a long, fp_b long")
+    met = pairs.join(sets.select(F.col("digest").alias("x"), F.col("hashes").alias("one")), "x").join(sets.select(F.col("digest").alias("y"), F.col("hashes").alias("two")), "y")
+    return met.select(F.col("fp_x").alias("a"), F.col("fp_y").alias("b"), "one", "two").mapInArrow(compare, "a long, b long").where("a <> b")
 
 
 def similar_links(docs: DataFrame, prints: DataFrame, near: DataFrame, shingle: int, similarity: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -176,43 +174,34 @@ def similar_links(docs: DataFrame, prints: DataFrame, near: DataFrame, shingle:
 
     In each round a text is compared with one other: of the texts its buckets have for a centre, the one first in the order
     of a hash. That joins most groups of copies, and a bucket whose members are of one component needs no more. In the
-    others all pairs of different components are compared in blocks, so no link between components is lost however large
-    a bucket is. Ids must tell rows apart or rows of one id hold one text.
+    others what is outside the largest component is compared with all in blocks, so no link between components is lost however
+    large a bucket is. Ids must tell rows apart or rows of one id hold one text.
     """
     keyed = prints.where("digest IS NOT NULL").select("digest", "fp", "keys").dropDuplicates(["digest"]).select("digest", "fp", F.explode("keys").alias("key"))
     shared = materialize(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "shared-keys")
     members = materialize(keyed.join(shared, "key", "left_semi"), "buckets")
-    nodes = materialize(prints.join(members.select("digest").distinct(), "digest", "left_semi").select("digest", "fp", "sig").dropDuplicates(["digest"]), "sketches")
     same = prints.where("digest IS NOT NULL").select("digest", F.col("fp").alias("a")).distinct()  # one set, other repeats
     same = same.join(same.groupBy("digest").agg(F.min("a").alias("b")), "digest").where("a <> b").select("a", "b")
-    links, least = materialize(near.select("a", "b").unionByName(same), "near-same"), similarity - MARGIN
+    links = materialize(near.select("a", "b").unionByName(same), "near-same")
 
-    def sets_of(asked: DataFrame) -> DataFrame:
-        return _sets(asked.distinct(), docs, prints, shingle, id_col, text_col)
-
-    def decided(pairs: DataFrame) -> DataFrame:
-        pairs = materialize(pairs, "estimated")
-        sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("digest")))
-        out = materialize(_checked(pairs, sets, similarity).where("fp_a <> fp_b").toDF("a", "b"), "similar")
-        discard(sets)
-        return out
-
-    def rooted() -> DataFrame:
+    def opened(members: DataFrame) -> DataFrame:
+        """``members`` of buckets with more than one component, with their ``root``."""
         found = connected_components(links)
         all_ = members.join(found.select(F.col("node").alias("fp"), "root"), "fp", "left").select("key", "digest", "fp", F.coalesce("root", "fp").alias("root"))
         mixed = all_.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
         return materialize(all_.join(mixed, "key", "left_semi"), "open-buckets")
 
+    open_ = opened(members)
+    if open_.isEmpty():
+        return links
+    sets = _sets(open_.select("digest").distinct(), docs, prints, shingle, id_col, text_col)
     for turn in range(STARS):
-        open_ = rooted()
+        order = F.xxhash64("digest", F.lit(turn))
+        centre = open_.groupBy("key").agg(F.min(F.struct(order.alias("h"), "digest", "fp", "root")).alias("c"))
+        first = open_.join(centre, "key").where("root <> c.root").groupBy("digest").agg(F.min(F.struct("c", "fp")).alias("m"))
+        met = first.select(F.col("digest").alias("x"), F.col("m.fp").alias("fp_x"), F.col("m.c.digest").alias("y"), F.col("m.c.fp").alias("fp_y"))
+        links = links.unionByName(materialize(_checked(met, sets, similarity), "similar"))
+        open_ = opened(open_.drop("root"))
         if open_.isEmpty():
             return links
-        order = F.xxhash64("digest", F.lit(turn))
-        centre = open_.groupBy("key").agg(F.min(F.struct(order.alias("h"), "digest", "root")).alias("c"))
-        first = open_.join(centre, "key").where("root <> c.root").groupBy("digest").agg(F.min("c").alias("c"))
-        met = first.select(F.least("digest", "c.digest").alias("a"), F.greatest("digest", "c.digest").alias("b")).distinct()
-        links = links.unionByName(decided(_estimated(met, nodes, least)))
-    open_ = rooted()
-    if open_.isEmpty():
-        return links
-    return links.unionByName(_blocks(open_, nodes, sets_of(open_.select("digest")), least, similarity).toDF("a", "b"))
+    return links.unionByName(_blocks(open_, sets, similarity))
