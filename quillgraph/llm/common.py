@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -13,25 +10,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one if unset (single machine only)."""
-    sc = spark.sparkContext
-    given = sc.getConf().get("spark.checkpoint.dir", None)
-    if given:
-        return given.rstrip("/")
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="quillgraph-"))
-    return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # noqa: BLE001  the session has ended; the folder is scratch space
-        pass
+from ..plans.session import remove, scratch_path
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -41,9 +20,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     files of what has been written stay until it does.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quillgraph-{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._materialized = path
     spark.sparkContext._jvm.System.gc()
@@ -53,7 +31,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def discard(*tables: DataFrame) -> None:
     """Remove the files of materialized tables of which nothing more is read."""
     for df in tables:
-        _remove(df.sparkSession, df._materialized)
+        remove(df.sparkSession, df._materialized)
 
 
 def compressed(df: DataFrame, column: str = "body") -> DataFrame:

@@ -4,16 +4,18 @@ Rows are in one of two sets: the snapshot (kept from earlier batches) and the in
 whole text, so equal rows of one batch meet without any filter, and a text that a third of the rows share is
 pre-aggregated before the shuffle. The snapshot's digests are dealt into buckets of about ``bucket_keys`` keys, with one
 3-wise binary-fuse filter each (about 1.13 bytes a key, false positives 1/256). Incoming digests are probed against
-their bucket's filter; only positives are joined to the exact groups, where whole texts are compared. Texts are moved and
-compared in compressed form, which is equal exactly for equal texts.
+their bucket's filter; only positives are joined to the exact groups, where whole texts are compared. Texts are moved in
+compressed form; where two forms of one digest aren't the same bytes, the texts themselves are compared.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from .common import compressed, discard, materialize, text_or_empty
 
@@ -114,6 +116,21 @@ def screen(digests: DataFrame, filters: DataFrame, buckets: int) -> DataFrame:
     return dealt.groupBy("bucket").cogroup(filters.groupBy("bucket")).applyInPandas(_probe, "digest string")
 
 
+@F.pandas_udf(BooleanType())
+def _one_text(forms: pd.Series) -> pd.Series:
+    """Whether compressed forms hold one text; true for null."""
+    z = zstandard.ZstdDecompressor()
+    return forms.map(lambda f: f is None or len({z.decompress(x) for x in f}) == 1)
+
+
+def _same(forms: Column) -> Column:
+    """An array of compressed forms, at least one, that are checked to hold one text: the job fails if they don't.
+
+    Equal forms are of equal texts, so only arrays with different ones are sent to be compared.
+    """
+    return F.when(_one_text(F.when(F.size(F.array_distinct(forms)) > 1, forms)), forms[0]).otherwise(F.raise_error(F.lit("two texts have one SHA-256 digest")).cast("binary"))
+
+
 def exact_dedup(docs: DataFrame, snapshot: Column | None = None, id_col: str = "doc_id", text_col: str = "text", bucket_keys: int = BUCKET_KEYS) -> DataFrame:
     """Of equal texts the row with the largest id stays.
 
@@ -131,15 +148,16 @@ def exact_dedup(docs: DataFrame, snapshot: Column | None = None, id_col: str = "
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("body"), F.coalesce(snapshot, F.lit(False)).alias("old"))
     rows = rows.withColumn("digest", F.sha2("body", 256))
     packed = compressed(rows.select("doc_id", F.col("body").cast("binary").alias("body"), "old", "digest"))
-    groups = materialize(packed.groupBy("old", "digest", "body").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("top")), "exact-groups")
+    groups = packed.groupBy("old", "digest").agg(F.collect_set("body").alias("forms"), F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("top"))
+    groups = materialize(groups.select("old", "digest", _same(F.col("forms")).alias("body"), "n", "top"), "exact-groups")
     old, new = groups.where("old").drop("old"), groups.where("not old").drop("old")
-    buckets = max(1, -(-old.count() // bucket_keys))
+    # enough buckets for either side, so that no task has more digests than a bucket should, whatever the snapshot is
+    buckets = max(1, -(-max(old.count(), new.count()) // bucket_keys))
     filters = build_filters(old.select("digest"), buckets)
     positive = materialize(screen(new.select("digest"), filters, buckets), "exact-positive")
     known = new.join(positive.hint("merge"), "digest", "left_semi").select("digest", F.col("body").alias("new_body"), F.col("n").alias("new_n"), F.col("top").alias("new_top"))
-    same = F.when(F.col("body") == F.col("new_body"), F.lit(True)).otherwise(F.raise_error(F.lit("two texts have one SHA-256 digest")).cast("boolean"))
-    matched = known.hint("merge").join(old, "digest").where(same).select("digest", (F.col("n") + F.col("new_n")).alias("n"), F.greatest("top", "new_top").alias("top"))
-    matched = materialize(matched, "exact-matched")
+    matched = known.hint("merge").join(old, "digest").select("digest", _same(F.array("body", "new_body")).alias("body"), (F.col("n") + F.col("new_n")).alias("n"), F.greatest("top", "new_top").alias("top"))
+    matched = materialize(matched.where(F.col("body").isNotNull()).drop("body"), "exact-matched")
     alone = [x.select("digest", "n", "top").join(matched.select("digest"), "digest", "left_anti") for x in (old, new)]
     merged = materialize(matched.unionByName(alone[0]).unionByName(alone[1]), "exact-merged")
     discard(groups, positive, matched)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -22,98 +23,197 @@ BLOCK = {
     "address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6",
     "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "optgroup", "option", "p", "pre", "search", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
 }
-DROPPED = {"aside", "button", "canvas", "datalist", "dialog", "embed", "fieldset", "footer", "form", "head", "input", "label", "menu", "nav", "object", "select", "svg", "audio", "video", "math", "map"} | RAW
+#: Menus, footers, sidebars, forms, scripts, styles and media, by tag.
+DROPPED = {"aside", "button", "datalist", "dialog", "embed", "footer", "form", "head", "input", "menu", "nav", "select", "svg", "audio", "video", "canvas"} | RAW
 CLOSES_P = BLOCK - {"caption", "body", "html", "legend", "optgroup", "option", "tbody", "td", "tfoot", "th", "thead", "tr", "li", "dd", "dt"} | {"li", "dd", "dt"}
 #: An element of the key ends an open one of the values, up to an element of the second set.
 ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
     "tbody": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}), "tfoot": ({"tbody", "thead", "tr", "td", "th"}, {"table"}), "option": ({"option"}, {"select", "datalist"}),
 }
-NEGATIVE = {
-    "ad", "ads", "adbox", "adsense", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "byline", "combx", "comment", "comments", "commentlist", "contact", "consent", "cookie", "cookies", "copyright", "credits",
-    "disclaimer", "disqus", "discussion", "dropdown", "flash", "foot", "footer", "footnotes", "gdpr", "header", "masthead", "menu", "menus", "message", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "outbrain", "overlay",
-    "pager", "pagination", "popup", "promo", "promoted", "promotion", "recommended", "related", "replies", "reply", "respond", "rss", "search", "share", "sharing", "shoutbox", "sidebar", "sidebars", "sidenav", "signup", "skip", "social", "sponsor", "sponsored", "sponsors",
-    "subscribe", "subscription", "taboola", "tags", "teaser", "toolbar", "topbar", "tracking", "widget", "widgets",
+#: What a class or id calls a menu, footer, sidebar, notice, advert, sign-up form or reader comments, by its last word.
+NAMED = {
+    "breadcrumb", "breadcrumbs", "menu", "menus", "nav", "navbar", "navigation", "pager", "pagination", "sidenav", "footer", "sidebar", "sidebars", "consent", "cookie", "cookies", "gdpr", "modal", "notice", "notices", "overlay", "popup",
+    "ad", "adbox", "ads", "adsense", "advert", "advertisement", "advertisements", "advertising", "adverts", "banner", "outbrain", "promoted", "sponsor", "sponsored", "sponsors", "taboola", "newsletter", "signup", "subscribe",
+    "comment", "commentlist", "comments", "disqus", "replies", "respond",
+}
+#: The same for headers, which stay inside an article.
+HEADERS = {"header", "masthead", "topbar"}
+#: Words that only say what a thing stands in or where.
+PLACES = {"area", "bar", "block", "bottom", "box", "container", "global", "inner", "item", "left", "list", "outer", "page", "panel", "region", "right", "section", "site", "slot", "sticky", "top", "unit", "wrap", "wrapper"}
+#: Words that speak against a container.
+NEGATIVE = NAMED | HEADERS | {
+    "byline", "combx", "contact", "copyright", "credits", "disclaimer", "discussion", "dropdown", "foot", "footnotes", "promo", "promotion", "recommended", "related", "reply", "rss", "search", "share", "sharing", "shoutbox", "skip", "social", "subscription",
+    "tags", "teaser", "toolbar", "tracking", "widget", "widgets",
 }
 POSITIVE = {"article", "body", "content", "entry", "hentry", "main", "page", "post", "story", "text", "blog"}
-ROLES = {"banner", "navigation", "complementary", "contentinfo", "search", "form", "alert", "dialog", "menu", "menubar"}
+ROLES = {"navigation", "complementary", "contentinfo", "search", "form", "alert", "dialog", "menu", "menubar"}
 PARAGRAPHS = {"p", "pre", "td", "blockquote", "li", "dd", "h2", "h3", "h4"}
 
-_TAG = re.compile(r"""<!--.*?(?:-->|--!>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>""", re.S)
-_ATTR = re.compile(r"""(?:^|\s)(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_ENDS_TAG = re.compile(r"""=\s*(["'])|>""")
+_ATTR = re.compile(r"""(?:^|\s)(class|id|role|hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 _SPACE = re.compile(r"\s+")
-_WORD = re.compile(r"[a-z]+")
+_WORD = re.compile(r"[a-z]+|[A-Z](?:[a-z]+|[A-Z]*(?![a-z]))")
 _COMMA = re.compile(r"[,،、，]")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "parent", "kids", "bad", "good", "points", "size", "linked")
+    __slots__ = ("tag", "parent", "kids", "bad", "head", "good", "poor", "points", "size", "linked")
 
-    def __init__(self, tag: str, parent: Node | None, bad: bool = False, good: bool = False):
-        self.tag, self.parent, self.kids, self.bad, self.good = tag, parent, [], bad, good
+    def __init__(self, tag: str, parent: Node | None, bad: bool = False, head: bool = False, good: bool = False, poor: bool = False):
+        self.tag, self.parent, self.kids, self.bad, self.head, self.good, self.poor = tag, parent, [], bad, head, good, poor
         self.points, self.size, self.linked = 0.0, 0, 0
 
 
-def _judge(tag: str, attrs: str) -> tuple[bool, bool]:
-    """Whether an element's tag or attributes speak against or for it."""
-    bad, good = tag in DROPPED, tag in ("article", "main")
+def _judge(tag: str, attrs: str) -> tuple[bool, bool, bool, bool]:
+    """Whether an element is boilerplate, is a header, and has a name that speaks for or against it as a container.
+
+    Only the last word of a name says what an element is: a cookie-notice is a notice, a notice-period isn't.
+    """
+    bad, head, good, poor = tag in DROPPED, tag == "header", tag in ("article", "main"), False
     if attrs:
         for name, a, b, c in _ATTR.findall(attrs):
-            name, value = name.lower(), (a or b or c).lower()
+            name, value = name.lower(), a or b or c
             if name in ("class", "id"):
-                words = set(_WORD.findall(value))
-                bad, good = bad or bool(words & NEGATIVE and not words & {"article", "story", "entry"}), good or bool(words & POSITIVE)
+                for token in value.split():
+                    words = [w.lower() for w in _WORD.findall(token)]
+                    what = next((w for w in reversed(words) if w not in PLACES), "")
+                    bad, head = bad or what in NAMED, head or what in HEADERS
+                    good, poor = good or not POSITIVE.isdisjoint(words), poor or not NEGATIVE.isdisjoint(words)
             elif name == "role":
-                bad, good = bad or value in ROLES, good or value in ("main", "article")
-            elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and _HIDDEN.search(value)):
+                value = value.lower()
+                bad, head, good = bad or value in ROLES, head or value == "banner", good or value in ("main", "article")
+            elif name == "hidden" or _HIDDEN.search(value):
                 bad = True
-    return bad and tag not in ("html", "body", "article", "main"), good
+    if tag in ("html", "body", "article", "main"):
+        return False, False, good, False
+    return bad, head, good, poor
+
+
+class _Open:
+    """The elements that are open, with the places of each tag, so that an end finds its start at once."""
+
+    def __init__(self, root: Node):
+        self.stack, self.places = [root], {}
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.stack))
+        self.stack.append(node)
+
+    def cut(self, at: int) -> None:
+        """Close the element at a place and all in it."""
+        while len(self.stack) > at:
+            self.places[self.stack.pop().tag].pop()
+
+    def last(self, tags) -> int:
+        """The innermost place of any of the tags; 0 if none is open."""
+        return max((p[-1] for t in tags if (p := self.places.get(t))), default=0)
+
+    def first_after(self, tags, at: int) -> int:
+        """The outermost place of any of the tags inside the place ``at``; 0 if there is none."""
+        found = 0
+        for t in tags:
+            p = self.places.get(t)
+            if p and p[-1] > at:
+                k = p[bisect_right(p, at)]
+                found = min(found or k, k)
+        return found
+
+
+_CELLS, _BOUNDS = ("td", "th", "table"), {"td", "th", "article", "section", "div", "button", "form"}
+_THROUGH_CELLS = {"tr", "table", "tbody", "thead", "tfoot", "article", "main"}
+
+
+def _tag_end(page: str, pos: int, gone: set[str]) -> int:
+    """Where the tag ends whose name ends at ``pos``, its ``>``; -1 if it never does. ``gone`` collects quotes that close no more."""
+    while m := _ENDS_TAG.search(page, pos):
+        if not m[1]:
+            return m.start()
+        pos = m.end()
+        if m[1] not in gone:
+            close = page.find(m[1], pos)
+            if close < 0:
+                gone.add(m[1])
+            else:
+                pos = close + 1
+    return -1
 
 
 def parse(page: str) -> Node:
-    """The element tree; texts are strings among the kids. Raw text elements have none."""
-    root = at = Node("html", None)
-    pos, n = 0, len(page)
+    """The element tree; texts are strings among the kids. Raw text elements have none.
+
+    One pass: no part of a page is read more than a fixed number of times, however broken it is. A tag or comment that never
+    ends takes the rest of the page with it.
+    """
+    root = Node("html", None)
+    open_ = _Open(root)
+    pos, n, gone = 0, len(page), set()
     while pos < n:
-        m = _TAG.search(page, pos)
-        if m is None or m.start() > pos:
-            at.kids.append(html.unescape(page[pos : m.start() if m else n]))
-        if m is None:
+        at = page.find("<", pos)
+        if at < 0:
+            at = n
+        if at > pos:
+            open_.stack[-1].kids.append(html.unescape(page[pos:at]))
+        if at == n:
             break
-        pos = m.end()
-        close, tag, attrs = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
-        if not tag:
+        close = page.startswith("/", at + 1)
+        m = _NAME.match(page, at + 1 + close)
+        if not m:
+            if page.startswith("<!--", at):
+                ends = [e + len(x) for x in ("-->", "--!>") if x not in gone and ((e := page.find(x, at + 4)) >= 0 or gone.add(x))]
+                pos = min(ends, default=n)
+            elif page[at + 1 : at + 2] in ("!", "?", "/") and at + 1 < n:
+                end = page.find(">", at)
+                pos = end + 1 if end >= 0 else n
+            else:
+                open_.stack[-1].kids.append("<")
+                pos = at + 1
             continue
-        tag = tag.lower()
+        end = _tag_end(page, m.end(), gone)
+        if end < 0:
+            break
+        tag, attrs, pos = m[0].lower(), page[m.end() : end], end + 1
         if close:
-            x = at
-            while x is not None and x.tag != tag and not (x.tag in ("td", "th", "table") and tag not in ("tr", "table", "tbody", "thead", "tfoot", "article", "main", "body", "html")):
-                x = x.parent
-            if x is not None and x.tag == tag and x.parent is not None:
-                at = x.parent
+            k = open_.last((tag,))
+            if k and (tag in _THROUGH_CELLS or open_.last(_CELLS) <= k):
+                open_.cut(k)
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, pos)
-            pos = end.end() if end else n
+            m = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, pos)
+            end = page.find(">", m.end()) if m else -1
+            pos = end + 1 if end >= 0 else n
             continue
         if tag in ("html", "body"):
             continue
         if tag in CLOSES_P or tag in ENDS:
             ends, stop = ENDS.get(tag, (set(), set()))
             own = ends | ({"p"} if tag in CLOSES_P else set())
-            x = at
-            while x is not None and x.tag not in stop and x.tag not in ("td", "th", "article", "section", "div", "button", "form") or x is not None and x.tag in own:
-                if x.tag in own and x.parent is not None:
-                    at = x.parent
-                x = x.parent
-        node = Node(tag, at, *_judge(tag, attrs))
-        at.kids.append(node)
+            if k := open_.first_after(own, open_.last((stop | _BOUNDS) - own)):
+                open_.cut(k)
+        up = open_.stack[-1]
+        node = Node(tag, up, *_judge(tag, attrs))
+        up.kids.append(node)
         if tag not in VOID and not attrs.endswith("/") or tag in ("p", "div", "span", "a", "li"):
-            at = node
+            open_.push(node)
+    _place_headers(root)
     return root
 
 
+def _place_headers(root: Node) -> None:
+    """A header of the article keeps the heading; one of the page goes."""
+    stack = [(root, False)]
+    while stack:
+        x, inside = stack.pop()
+        inside = inside or x.good
+        for k in x.kids:
+            if isinstance(k, Node):
+                k.bad = k.bad or k.head and not inside
+                if not k.bad:
+                    stack.append((k, inside))
+
+
 def _score(root: Node) -> None:
     """Sizes, linked sizes and points of all elements without what is boilerplate."""
     order, stack = [], [root]
@@ -142,6 +242,8 @@ def _score(root: Node) -> None:
                 up, level, share = up.parent, level + 1, share / 2 if level == 0 else share / 1.5
     for x in order:
         x.points *= 1 - x.linked / x.size if x.size else 0
+        if x.poor:
+            x.points *= 0.25
         if x.good:
             x.points = x.points * 1.25 + 5
 
@@ -172,18 +274,6 @@ def extract(page: str | None) -> str:
         return ""
     root = parse(page)
     _score(root)
-    # a header of the article keeps the heading; one of the page goes
-    stack = [root]
-    while stack:
-        x = stack.pop()
-        for k in x.kids:
-            if isinstance(k, Node) and not k.bad:
-                if k.tag == "header":
-                    up = x
-                    while up is not None and up.tag not in ("article", "main") and not up.good:
-                        up = up.parent
-                    k.bad = up is None
-                stack.append(k)
     best, stack = None, [root]
     while stack:
         x = stack.pop()
@@ -215,7 +305,8 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
 
     Returns ``page_id, url, text, n_chars``, one row for each input row. Character references are decoded; white space inside a
     block is one space; blocks are joined in page order by one line break. A null or empty html, or one without text
-    outside boilerplate, has an empty text. Broken markup never fails. Rows repeated or with null ids or urls stay. Other
+    outside boilerplate, has an empty text. Broken markup never fails, and very long pages take time in proportion to their
+    length. Rows repeated or with null ids or urls stay. Of containers with equal points the first in the page is taken. Other
     columns are not read. An empty table gives an empty result.
     """
 

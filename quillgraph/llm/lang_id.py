@@ -19,12 +19,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
-from pyspark.sql.window import Window
 
 from .common import text_or_empty
 
-#: Bounds of the training sample: documents a language, and characters of each.
-SAMPLE_DOCS, SAMPLE_CHARS = 400, 20_000
+#: The bound of the training sample: about so many documents a language.
+SAMPLE_DOCS = 400
 ROUNDS, PRIOR = 3, 0.01
 #: Words whose scores a worker keeps, and the length up to which they outlast a full cache.
 CACHE, KEPT_LENGTH = 300_000, 6
@@ -132,12 +131,29 @@ def log_words(pieces: Pieces, batch: list[str], p: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit(pieces: Pieces, texts: list[str], rounds: int = ROUNDS, prior: float = PRIOR) -> np.ndarray:
-    """Piece probabilities by expectation-maximisation over the words of the texts; words over 32 letters are left out."""
-    count = Counter(w for t in texts for ws in words(t) for w in ws if len(w) <= LONG_WORD)
+def _expected_long(pieces: Pieces, word: str, p: np.ndarray) -> Counter:
+    """How often each piece is expected in a word of any length, over all its segmentations; sums are logarithms."""
+    w, get, logp = "▁" + word, pieces.ids.get, np.log(np.maximum(p[:, 0], 1e-300))
+    n = len(w)
+    at = [(j - k, j, i) for j in range(1, n + 1) for k in range(1, min(j, pieces.longest) + 1) if (i := get(w[j - k : j], 0 if k == 1 else None)) is not None]
+    alpha, beta = np.full(n + 1, -np.inf), np.full(n + 1, -np.inf)
+    alpha[0] = beta[n] = 0.0
+    for start, end, i in at:
+        alpha[end] = np.logaddexp(alpha[end], alpha[start] + logp[i])
+    for start, end, i in reversed(at):
+        beta[start] = np.logaddexp(beta[start], beta[end] + logp[i])
+    out: Counter = Counter()
+    for start, end, i in at:
+        out[i] += float(np.exp(alpha[start] + logp[i] + beta[end] - alpha[n]))
+    return out
+
+
+def fit(pieces: Pieces, count: dict[str, int], rounds: int = ROUNDS, prior: float = PRIOR) -> np.ndarray:
+    """Piece probabilities by expectation-maximisation over words and how often each occurs."""
     size = len(pieces.ids) + 1
     p = np.full((size, 1), 1.0 / size)
-    vocabulary = list(count)
+    vocabulary = sorted(w for w in count if len(w) <= LONG_WORD)
+    longer = sorted(w for w in count if len(w) > LONG_WORD)
     batches = [vocabulary[a : a + 4096] for a in range(0, len(vocabulary), 4096)]
     for _ in range(rounds):
         expected = np.full(size, prior)
@@ -156,36 +172,52 @@ def fit(pieces: Pieces, texts: list[str], rounds: int = ROUNDS, prior: float = P
             times = np.array([count[w] for w in batch], float) / np.maximum(total, 1e-300)
             part = alpha[e[:, 1], e[:, 0]] * p[e[:, 3], 0] * beta[e[:, 2], e[:, 0]] * times[e[:, 0]]
             expected += np.bincount(e[:, 3], part, size)
+        for w in longer:
+            for i, x in _expected_long(pieces, w, p).items():
+                expected[i] += count[w] * x
         p = (expected / expected.sum()).reshape(-1, 1)
     return p[:, 0]
 
 
 def sample(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
-    """The rows ``doc_id, body, lang`` of about the first ``sample_docs`` documents of each language by a hash of their ids.
+    """The rows ``doc_id, body, lang`` of about ``sample_docs`` documents of each language.
 
-    The hash up to which documents are taken is found on ids alone, a row for each language; texts are read for those only. That row, as later
-    the model, is sent to all tasks.
-    Documents of equal hash are taken together.
+    Documents are counted by language, and each is taken if a hash of its id and text falls under the language's share; all
+    are, if there are no more than asked for. Equal rows fall together and are learned from once. The shares, a row for each
+    language, are sent to all tasks, as later the model is.
     """
-    key = F.xxhash64("doc_id")
-    order = Window.partitionBy("lang").orderBy("key")
-    ranked = labelled.select("lang", key.alias("key")).withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= sample_docs)
-    upto = ranked.groupBy("lang").agg(F.max("key").alias("upto"))
-    return labelled.join(F.broadcast(upto), "lang").where(key <= F.col("upto")).select("doc_id", "body", "lang")
+    shares = labelled.groupBy("lang").agg((F.lit(float(sample_docs)) / F.count(F.lit(1))).alias("share"))
+    place = F.pmod(F.xxhash64("doc_id", "body"), F.lit(1 << 53)) / F.lit(float(1 << 53))
+    return labelled.join(F.broadcast(shares), "lang").where(place < F.col("share")).select("doc_id", "body", "lang").dropDuplicates(["doc_id", "body", "lang"])
+
+
+def word_counts(rows: DataFrame) -> DataFrame:
+    """``lang, word, n``: the words of ``body, lang`` and how often each occurs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            count = Counter((lang, w) for lang, text in zip(b.column("lang").to_pylist(), b.column("body"), strict=True) for ws in words(text.as_py()) for w in ws)
+            langs, found = zip(*count, strict=True) if count else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(found, pa.string()), pa.array(count.values(), pa.int64())], names=["lang", "word", "n"])
+
+    return rows.select("lang", "body").mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-def train(labelled: DataFrame, vocabulary: list[str], sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> tuple[list[str], np.ndarray]:
+def train(labelled: DataFrame, vocabulary: list[str], sample_docs: int = SAMPLE_DOCS) -> tuple[list[str], np.ndarray]:
     """Languages, sorted, and their piece probabilities from rows ``doc_id, body, lang``.
 
-    Learned from ``sample_docs`` documents of each language and ``sample_chars`` characters of each of these at most. What comes
-    back is as large as the vocabulary times the number of languages.
+    Learned from the whole texts of about ``sample_docs`` documents of each language. What comes back is as large as the
+    vocabulary times the number of languages. A language whose sample has no word is learned as all pieces alike.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = fit(Pieces(vocabulary), list(pdf["body"]))
+        known = pdf.dropna(subset=["word"])
+        p = fit(Pieces(vocabulary), dict(zip(known["word"], known["n"].astype(int).tolist(), strict=True)))
         return pd.DataFrame({"lang": [pdf["lang"].iloc[0]], "p": [p.tolist()]})
 
-    rows = sample(labelled, sample_docs).select(F.substring("body", 1, sample_chars).alias("body"), "lang").groupBy("lang").applyInPandas(run, "lang string, p array<double>").collect()
+    taken = sample(labelled, sample_docs)
+    none = taken.select("lang", F.lit(None).cast("string").alias("word"), F.lit(0).cast("long").alias("n")).distinct()
+    rows = word_counts(taken).unionByName(none).groupBy("lang").applyInPandas(run, "lang string, p array<double>").collect()
     rows = sorted(rows, key=lambda r: r["lang"])
     return [r["lang"] for r in rows], np.array([r["p"] for r in rows]).T if rows else np.zeros((len(vocabulary) + 1, 0))
 
@@ -276,7 +308,8 @@ def lang_id(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_
     Returns ``doc_id, held_out, lang_pred, score``, or with ``keep`` all columns of ``docs`` and ``__lang, __score``. The score is
     the language's share of the texts' probability over all languages, equal priors. A null text or one without a
     letter is ``und`` with score 0, as is every text if no labelled row may be learned from. Ties go to the language that
-    sorts first. Rows with a null id are not learned from. Repeated rows are scored each. Of other columns none is read.
+    sorts first. Rows with a null id are not learned from. Repeated rows are scored each, and learned from once. Very long
+    texts are scored whole, in parts that end between words. Of other columns none is read.
     An empty table gives an empty result.
     """
     vocabulary = load_vocabulary(vocabulary_path)

@@ -25,8 +25,9 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mixing.mix(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "source", F.col("__tokens").alias("n_tokens"), F.col("__epoch").alias("epoch"), F.col("__block").alias("block"), F.col("__order").alias("block_order"))
+    docs = table(spark, sf_dir, "documents")
+    own = mixing.own_names(docs)
+    return mixing.mix(docs).select("doc_id", "source", F.col(own["tokens"]).alias("n_tokens"), F.col(own["epoch"]).alias("epoch"), F.col(own["block"]).alias("block"), F.col(own["order"]).alias("block_order"))
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

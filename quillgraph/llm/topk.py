@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -22,8 +25,8 @@ class SortedLists:
         self.order = np.argsort(self.vectors, axis=0, kind="stable").astype(np.int32)
         self.values = np.take_along_axis(self.vectors, self.order, axis=0)
 
-    def top(self, own: int, q: np.ndarray, k: int) -> list[tuple[int, int]]:
-        """The k highest (score, id) without the id ``own``, ties to smaller ids.
+    def top(self, own: int, q: np.ndarray, k: int, least: int | None = None) -> list[tuple[int, int]]:
+        """The k highest (score, id) without the id ``own``, ties to smaller ids; those under ``least`` may be left out.
 
         Lists are read from their best end, a growing number of entries at a time; vectors met are scored in full. What
         hasn't been met can't score over the bound: the inner product of the query with the values reached. Reading
@@ -55,9 +58,11 @@ class SortedLists:
                 keep = np.lexsort((best_row, -best_score))[:k]
                 best_score, best_row = best_score[keep], best_row[keep]
             depth, step = end, step * 2
-            if depth < n and len(best_score) == k:
+            kth = int(best_score[-1]) if len(best_score) == k else None
+            kth = max((x for x in (kth, least) if x is not None), default=None)
+            if depth < n and kth is not None:
                 bound = int(self.values[n - 1 - depth, up] @ q[up] + self.values[depth, down] @ q[down])
-                if bound < best_score[-1]:
+                if bound < kth:
                     break
             if seen.all():
                 break
@@ -77,13 +82,15 @@ def _packed(rows: DataFrame, key: str) -> DataFrame:
 def top_k(vectors: DataFrame, queries: Column, k: int = 5, scale: float = 256.0, id_col: str = "vec_id", vector_col: str = "embedding", block: int = BLOCK, chunk: int = CHUNK) -> DataFrame:
     """For each row that meets ``queries``, the k other rows with the highest integer inner products.
 
-    Components become floor(scale * x); they and the products must fit a long. Vectors are dealt into blocks, queries into
-    chunks; every block meets every chunk in a task of its own, and a query's best of all blocks are merged.
+    Components become floor(scale * x); they and the products must fit a long. Vectors are dealt into blocks. A block's lists
+    are sorted once, in the task that holds it, and all queries stream past it in chunks; a query's kth score in the blocks
+    that a task has done bounds its search of the next. A query's best of all blocks are merged.
 
     Returns ``query_id, rank, vec_id, score``: rank from 1, ties to smaller ids, all rows if there are fewer than k. Vectors
     that are null or hold null or non-finite components take no part, nor do rows with a null id; vectors of another length
-    than the query's don't meet it. Rows repeated with one id count each as candidates of other ids, and a repeated
-    query has the results of one. Other columns are not read. An empty table gives an empty result.
+    than the query's don't meet it. Vectors of any length are compared whole. Rows repeated with one id count each as
+    candidates of other ids, and a repeated query has the results of one. Other columns are not read. An empty table gives an
+    empty result.
     """
     ok = F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & ~F.exists(vector_col, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
     good = vectors.where(ok).select(F.col(id_col).cast("long").alias("vec_id"), F.coalesce(queries, F.lit(False)).alias("asks"), F.transform(vector_col, lambda x: F.floor(x.cast("double") * scale)).alias("v"), F.size(vector_col).alias("dim"))
@@ -92,18 +99,32 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, scale: float = 256.0,
     blocks, chunks = max(1, -(-n // block)), max(1, -(-m // chunk))
     # a row's place hashes a salt too, so that rows of one id spread
     lists = _packed(good.select("vec_id", "v", "dim", F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(blocks)).cast("int").alias("block")), "block")
+    lists = materialize(lists, "topk-blocks")
     asked = good.where("asks").dropDuplicates(["vec_id", "dim"]).select("vec_id", "v", "dim", F.pmod(F.xxhash64("vec_id"), F.lit(chunks)).cast("int").alias("chunk"))
-    asked = _packed(asked, "chunk").select("dim", "chunk", F.col("ids").alias("q_ids"), F.col("values").alias("q_values"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for x in pdf.itertuples(index=False):
-            ids, q_ids = np.frombuffer(x.ids, np.int64), np.frombuffer(x.q_ids, np.int64)
-            lists = SortedLists(ids, np.frombuffer(x.values, np.int64).reshape(len(ids), x.dim))
-            for own, q in zip(q_ids, np.frombuffer(x.q_values, np.int64).reshape(len(q_ids), x.dim), strict=True):
-                out += [(int(own), i, s) for s, i in lists.top(own, q, k)]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
-
-    met = asked.join(lists, ["dim", "block"]).groupBy("dim", "block", "chunk").applyInPandas(run, "query_id long, vec_id long, score long")
+    # one stream a block: its vectors, then all chunks of queries of their length
+    held = lists.select("dim", "block", F.lit(-1).alias("chunk"), "ids", "values")
+    where = lists.select("dim", "block")  # a row for each block
+    asked = _packed(asked, "chunk").join(where, "dim").select("dim", "block", "chunk", "ids", "values")
+    streams = held.unionByName(asked).repartition("dim", "block").sortWithinPartitions("dim", "block", "chunk")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lists, best = None, {}
+        for b in batches:
+            for x in b.to_pylist():
+                ids = np.frombuffer(x["ids"], np.int64)
+                vectors = np.frombuffer(x["values"], np.int64).reshape(len(ids), x["dim"])
+                if x["chunk"] < 0:
+                    lists = SortedLists(ids, vectors)
+                    continue
+                out = []
+                for own, q in zip(ids.tolist(), vectors, strict=True):
+                    found = lists.top(own, q, k, best.get((x["dim"], own)))
+                    if len(found) == k:
+                        best[x["dim"], own] = max(found[-1][0], best.get((x["dim"], own), found[-1][0]))
+                    out += [(own, i, s) for s, i in found]
+                cols = list(zip(*out, strict=True)) or [()] * 3
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["query_id", "vec_id", "score"])
+
+    met = streams.mapInArrow(run, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return met.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

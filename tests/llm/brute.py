@@ -137,3 +137,62 @@ def by(rows, *names):
     for r in rows:
         out[r[names[0]]].append(tuple(r[n] for n in names[1:]))
     return dict(out)
+
+
+def mix(rows, keys, order, want, block_tokens):
+    """Uses of (id, source, tokens) rows: whole passes over the wanted tokens, then blocks in their order, then documents in theirs."""
+    out = Counter()
+    for source in {s for _, s, _ in rows}:
+        own = [(i, n) for i, s, n in rows if s == source]
+        total = sum(n for _, n in own)
+        full, rest = divmod(want[source], total) if total else (1, 0)
+        count = max(1, -(-total // block_tokens))
+        blocks = defaultdict(list)
+        for i, n in own:
+            blocks[keys[i] % count].append((keys[i], i, n))
+        used, again = 0, set()
+        for b in sorted(blocks, key=lambda b: order(source, b, full) % 2**64):
+            for _, i, n in sorted(blocks[b]):
+                if used < rest:
+                    again.add(i)
+                used += n
+        for i, _ in own:
+            out[i] += full + (i in again)
+    return out
+
+
+def main_text(page, dropped=("nav", "footer", "aside", "form", "script", "style", "header"), classes=("ad", "sidebar", "comments", "cookie-notice")):
+    """The text of a page's article, by the standard library's parser; only paragraphs and items may be left open."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        inside, out, blocks, now = [], 0, [], ""
+
+        def handle_starttag(self, tag, attrs):
+            if tag == "br":
+                self.now += " "
+            if tag in ("br", "meta", "img", "link", "input", "hr"):
+                return
+            gone = tag in dropped or any(n == "class" and v in classes for n, v in attrs)
+            self.inside = [*self.inside, (tag, gone)]
+            self.block(tag)
+
+        def handle_endtag(self, tag):
+            if any(t == tag for t, _ in self.inside):  # paragraphs and items may be left open
+                while self.inside[-1][0] != tag:
+                    self.inside = self.inside[:-1]
+                self.inside = self.inside[:-1]
+            self.block(tag)
+
+        def block(self, tag):
+            if tag not in ("a", "b", "i", "em", "strong", "span"):
+                self.blocks, self.now = [*self.blocks, self.now], ""
+
+        def handle_data(self, data):
+            if any(t == "article" for t, _ in self.inside) and not any(g for _, g in self.inside):
+                self.now += data
+
+    reader = Reader()
+    reader.feed(page or "")
+    reader.block("p")
+    return "\n".join(t for b in reader.blocks if (t := " ".join(b.split())))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -167,6 +168,32 @@ def test_mixing_entropy_and_budget(spark):
     assert abs(sum(r["__tokens"] for r in mixing.mix(docs, budget=1000, max_repeats=None, target_entropy=0.1).collect()) - 1000) <= 20
 
 
+@pytest.mark.parametrize("block_tokens, seed", [(40, 0), (7, 3), (10**6, 0)])
+def test_mixing_brute(spark, block_tokens, seed):
+    """Uses of documents against brute force, with many and few blocks, repeated and null ids, ties and clashing columns."""
+    rng = random.Random(seed)
+    rows = [(k if k % 50 else k // 2 * 2, " ".join("w" * rng.randint(0, 1) for _ in range(30)), f"s{k % 3 * (k % 7 > 2)}", k, -1) for k in range(400)] + [(900, None, "s1", 0, -1), (901, "", "empty", 0, -1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, `__tokens` long, tokens long")
+    facts = [(i, s, len((t or "").split())) for i, t, s, *_ in rows]
+    size = Counter()
+    for _, s, n in facts:
+        size[s] += n
+    a, spent = mixing.exponent(spark.createDataFrame([(n,) for n in size.values()], "tokens long"), None, 2.5, None)
+    share = {s: (n / sum(size.values())) ** a for s, n in size.items() if n}
+    want = {s: round(spent * x / sum(share.values())) for s, x in share.items()}
+    keys = {r["doc_id"]: r["k"] for r in docs.select("doc_id", F.xxhash64("doc_id", F.lit(seed)).alias("k")).collect()}
+    blocks = spark.createDataFrame([(s, b, f) for s in size for b in range(max(1, -(-size[s] // block_tokens))) for f in range(1, 4)], "s string, b long, f int")
+    order = {(r["s"], r["b"], r["f"]): r["h"] for r in blocks.select("*", F.xxhash64(F.concat(F.lit("s"), F.col("s")), "b", "f", F.lit(seed)).alias("h")).collect()}
+    expected = brute.mix(facts, keys, lambda *x: order[x], want | {"empty": 0}, block_tokens)
+    out = mixing.mix(docs, max_repeats=2.5, seed=seed, block_tokens=block_tokens)
+    assert mixing.own_names(docs)["tokens"] == "___tokens" and out.columns == [*docs.columns, "___tokens", "__epoch", "__block", "__order"]
+    got_ = out.collect()
+    assert Counter(r["doc_id"] for r in got_) == expected
+    assert all(r["___tokens"] == len((r["text"] or "").split()) and r["tokens"] == -1 for r in got_)
+    counted = mixing.mix(docs, tokens=F.length("text"), seed=seed)
+    assert all(r["___tokens"] == len(r["text"] or "") for r in counted.collect())
+
+
 def test_topk(spark):
     rng = np.random.default_rng(3)
     vectors = [(k, [float(x) for x in rng.integers(-3, 4, 6) / 8]) for k in range(300)] + [(300, None), (350, [0.1, None, 0.0, 0.0, 0.0, 0.0]), (400, [float("nan")] * 6), (450, [float("inf")] + [0.0] * 5), (500, [0.0] * 6), (550, [0.25] * 6), (600, [0.25] * 6)]
@@ -263,6 +290,23 @@ def test_html_without_article():
     assert html_text.extract(page).split("\n") == [f"Paragraph {k}, which goes on, and on, for a good while so that it counts as text." for k in range(4)]
 
 
+@pytest.mark.parametrize("page", ["<a " * 300_000, "<div>" * 50_000 + "</x>" * 50_000, '<a "' * 200_000, '<a "' * 200_000 + ">", "<x><table><td>" + "<div>" * 50_000 + "</x>" * 50_000, "<div>" * 50_000 + "<header>h</header>" * 50_000, "<script>" + "</script " * 90_000, "<!--" * 200_000, "<p>" * 90_000, "<ul><li>" * 40_000, "<" * 200_000], ids=range(11))
+def test_html_takes_linear_time(page):
+    began = time.process_time()
+    assert isinstance(html_text.extract(page), str)
+    assert time.process_time() - began < 5
+
+
+@pytest.mark.parametrize("inside, stays", [
+    ('<p class="footnotes">x</p>', True), ('<div class="message"><p>x</p></div>', True), ('<section id="notice-period">x</section>', True), ('<p class="share-prices">x</p>', True), ("<math>x</math>", True), ("<label>x</label>", True),
+    ("<header><p>x</p></header>", True), ('<div class="byline">x</div>', True), ('<div class="cookie-notice">x</div>', False), ('<div class="ad">x</div>', False), ('<div class="ad-slot-2">x</div>', False), ('<div id="comments"><p>x</p></div>', False),
+    ('<div class="siteSidebar">x</div>', False), ('<ul class="comment-list"><li>x</li></ul>', False), ("<aside>x</aside>", False), ("<form><label>x</label></form>", False), ('<div role="navigation">x</div>', False),
+])
+def test_html_drops_what_is_named_only(inside, stays):
+    page = f"<body><nav>menu</nav><header>site</header><article><h1>T</h1><p>Some text, with commas, and more of it to come.</p>{inside}</article><footer>f</footer></body>"
+    assert html_text.extract(page).split("\n") == ["T", "Some text, with commas, and more of it to come.", *(["x"] if stays else [])]
+
+
 def test_html_frame(spark):
     df = spark.createDataFrame([(1, "u", PAGE, "t", 3), (2, None, None, "t", 3), (None, "u", "", "t", 3), (1, "u", PAGE, "t", 3)], "page_id long, url string, html string, text string, n_chars int")
     out = sorted((r["page_id"] or 0, r["n_chars"], len(r["text"])) for r in html_text.extract_pages(df).collect())
@@ -442,6 +486,40 @@ def test_lang_id_sums_segmentations():
     assert [w for ws in lang_id.words("Ab1c d_e") for w in ws] == ["ab", "c", "d", "e"]
 
 
+def test_lang_id_learns_from_whole_texts(spark):
+    """What is learned is what all words of all sampled texts give, long words and long texts included; equal rows count once."""
+    vocabulary_ = ["▁", "a", "b", "c", "ab", "ba", "▁a", "bab", "abc"]
+    rng = random.Random(3)
+    texts = [" ".join("".join(rng.choice("abc") for _ in range(rng.randint(1, 60))) for _ in range(40)) for _ in range(5)] + ["ab " * 30_000 + "cab", "12 3"]
+    rows = [(k, t, "xx") for k, t in enumerate(texts)] + [(0, texts[0], "xx")] * 3 + [(50, "7 8", "yy")]
+    langs, p = lang_id.train(spark.createDataFrame(rows, "doc_id long, body string, lang string"), vocabulary_)
+    count = Counter(w for t in texts for ws in lang_id.words(t) for w in ws)
+    pieces, size = lang_id.Pieces(vocabulary_), len(vocabulary_) + 1
+
+    def all_(w, p):
+        """Expected uses of each piece over all segmentations, one after another."""
+        w, done = "▁" + w, [(1.0, np.zeros(size))] + [(0.0, np.zeros(size)) for _ in range(len(w) + 1)]
+        for j in range(1, len(w) + 1):
+            total, uses = 0.0, np.zeros(size)
+            for k in range(1, 5):
+                i = pieces.ids.get(w[max(0, j - k) : j], 0 if k == 1 else None)
+                if i is not None and k <= j:
+                    weight, before = done[j - k][0] * p[i], done[j - k][1].copy()
+                    before[i] += 1
+                    total, uses = total + weight, uses + weight * before
+            done[j] = total, uses / total
+        return done[len(w)][1]
+
+    q = np.full(size, 1 / size)
+    for _ in range(lang_id.ROUNDS):
+        expected = np.full(size, lang_id.PRIOR) + sum(n * all_(w, q) for w, n in count.items())
+        q = expected / expected.sum()
+    assert langs == ["xx", "yy"] and np.allclose(p[:, 0], q) and np.allclose(p[:, 1], 1 / size)
+    many = spark.range(20_000).selectExpr("id AS doc_id", "concat('t', id) AS body", "CASE WHEN id % 9 = 0 THEN 'p' ELSE 'q' END AS lang")
+    taken = Counter(r["lang"] for r in lang_id.sample(many, 300).collect())
+    assert all(abs(n - 300) < 90 for n in taken.values()) and len(taken) == 2
+
+
 def test_empty_tables(empty):
     path = vocabulary("piece_bpe_32k.model")
     for out in (substring_dedup.substring_dedup(empty), token_counts.token_counts(empty, path), mixing.mix(empty), line_dedup.line_dedup(empty), packing.pack(empty, vocabulary("word_bpe_49k.json")), simhash.simhash_dedup(empty), exact_dedup.exact_dedup(empty), lang_id.lang_id(empty, path)):

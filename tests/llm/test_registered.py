@@ -81,6 +81,13 @@ def test_op6(spark, rows):
     assert len({r["sequence_id"] for r in out}) <= -(-sum(r["length"] for r in out) // 4096) + 1
 
 
+@here
+def test_op7(spark):
+    pages = queries.table(spark, DIR, "pages").collect()
+    out = {r["page_id"]: (r["url"], r["text"], r["n_chars"]) for r in queries.op7(spark, DIR).collect()}
+    assert out == {r["page_id"]: (r["url"], t := brute.main_text(r["html"]), len(t)) for r in pages} and len(out) == len(pages)
+
+
 @here
 def test_op8(spark, rows):
     prints = {k: brute.simhash(t) for k, t, *_ in rows}
