@@ -7,10 +7,6 @@ from pyspark.sql import functions as F
 
 from ..vocab import BF, DCTERMS, LCLOCAL, MADS, RDF
 
-#: Separates the parts of a key; no term holds it.
-SEPARATOR = "␟"
-
-
 def in_namespace(term: Column | str, *namespaces: str) -> Column:
     term = F.col(term) if isinstance(term, str) else term
     out = F.lit(False)
@@ -30,10 +26,16 @@ def vocabulary_term(uri: Column | str) -> Column:
     return in_namespace(uri, BF, MADS, RDF)
 
 
+def sized(text: Column | str) -> Column:
+    """A text after its length, so that texts put one after another can't be read in two ways."""
+    text = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
+    return F.concat(F.length(text).cast("string"), F.lit(":"), text)
+
+
 def object_key(nested: Column | None = None) -> Column:
     """A key of an object that is equal exactly for equal terms; ``nested`` is the key of a blank node's content."""
-    literal = F.concat_ws(SEPARATOR, F.lit("lit"), F.col("o"), F.coalesce("o_dt", F.lit("")), F.coalesce("o_lang", F.lit("")))
-    ref = F.concat_ws(SEPARATOR, F.lit("ref"), F.col("o"))
+    literal = F.concat(F.lit("lit"), sized("o"), sized("o_dt"), sized("o_lang"))
+    ref = F.concat(F.lit("ref"), sized("o"))
     return F.when(F.col("o_kind") == "l", literal).when(F.col("o_kind") == "u", ref).otherwise(nested if nested is not None else F.lit("<cycle>"))
 
 

@@ -19,39 +19,42 @@ def blank_edges(triples: DataFrame) -> DataFrame:
 
 
 def reach(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """All ``record_id, root, node`` reached from seeds of that form, seeds included.
+    """All ``record_id, root, node`` reached from seeds of that form, seeds included; columns that seeds have besides go along.
 
     Every hop joins only the nodes new since the last one, keyed by record and node, and leaves out what has been seen, so
     cycles end and shared nodes are taken once. Chains are as deep as lists are long, so plans are cut now and then.
     """
-    seen = checkpoint(seeds.select("record_id", "root", "node").distinct())
-    front, hops, size = seen, 0, seen.count()
-    while size:
-        step = front.join(edges.withColumnRenamed("s", "node"), ["record_id", "node"]).select("record_id", "root", F.col("o").alias("node")).distinct()
-        front = checkpoint(step.join(seen, ["record_id", "root", "node"], "left_anti"))
-        size = front.count()
-        if not size:
-            break
+    keys = seeds.columns
+    also = [c for c in keys if c not in ("record_id", "node")]
+    seen = checkpoint(seeds.distinct())
+    if seen.isEmpty():
+        return seen
+    edges = checkpoint(edges.select("record_id", F.col("s").alias("node"), "o"))  # narrow; read once a hop
+    front, hops = seen, 0
+    while True:
+        step = front.join(edges, ["record_id", "node"]).select("record_id", *also, F.col("o").alias("node")).distinct()
+        front = checkpoint(step.join(seen, keys, "left_anti").select(*keys))
+        if front.isEmpty():
+            return seen
         seen, hops = seen.unionByName(front), hops + 1
         if hops % STRETCH == 0:
             seen = checkpoint(seen)
-    return seen
 
 
 def description(triples: DataFrame, roots: DataFrame) -> DataFrame:
     """The concise bounded description of each root: its own triples and, over blank nodes, those they lead to.
 
     ``roots`` has ``record_id, class, entity``; the result adds the triples' columns. Triples with a term of the local
-    or terms namespace as predicate or object are left out, and blank nodes are not followed through them.
+    or terms namespace as predicate or object are left out, and blank nodes are not followed through them. The triples
+    themselves are moved once, to the nodes of the descriptions.
     """
     kept = triples.where(carried())
     edges = blank_edges(kept)
-    starts = roots.select("record_id", F.col("entity").alias("root")).distinct()
-    seeds = starts.join(edges.withColumnRenamed("s", "root"), ["record_id", "root"]).select("record_id", "root", F.col("o").alias("node"))
-    members = starts.withColumn("node", F.col("root")).unionByName(reach(edges, seeds)).distinct()
+    starts = roots.select("record_id", "class", "entity").distinct()
+    seeds = starts.join(edges.withColumnRenamed("s", "entity"), ["record_id", "entity"]).select("record_id", "class", "entity", F.col("o").alias("node"))
+    members = starts.withColumn("node", F.col("entity")).unionByName(reach(edges, seeds)).distinct()
     owned = members.join(kept.withColumnRenamed("s", "node"), ["record_id", "node"])
-    found = owned.select("record_id", F.col("root").alias("entity"), F.col("node").alias("s"), "s_kind", "p", "o", "o_kind", "o_dt", "o_lang")
-    return roots.select("record_id", "class", "entity").distinct().join(found, ["record_id", "entity"])
+    return owned.select("record_id", "entity", "class", F.col("node").alias("s"), "s_kind", "p", "o", "o_kind", "o_dt", "o_lang")
 
 
 def without_nodes(triples: DataFrame, links: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 from functools import reduce
 
@@ -9,10 +10,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.terms import SEPARATOR, carried, object_key, vocabulary_term
+from ..functions.terms import carried, object_key, sized, vocabulary_term
 from ..plans.session import checkpoint
 from ..schema import TRIPLE
-from ..vocab import BF, EXCLUDED, HUB, INSTANCE, INVERSES, LABELS, RELATION_PREDICATES, TYPE, TYPE_RULES, WORK
+from ..vocab import ADMIN, BF, DERIVED_FROM, EXCLUDED, HUB, INSTANCE, INVERSES, LABELS, RELATION_PREDICATES, TYPE, TYPE_RULES, WORK
 from .closure import blank_edges, description, links_by_type, reach, without_nodes
 
 
@@ -24,6 +25,37 @@ def match(triples: DataFrame, s: str | None = None, p: str | None = None, o: str
     return triples
 
 
+def value(triples: DataFrame, p: str, o: str | None = None) -> DataFrame:
+    """``record_id, s, value``: of each subject the least object of a predicate; with ``o``, of each record the least subject that has it."""
+    if o is None:
+        return triples.where(F.col("p") == p).groupBy("record_id", "s").agg(F.min("o").alias("value"))
+    return match(triples, p=p, o=o).groupBy("record_id").agg(F.min("s").alias("value"))
+
+
+def subjects(triples: DataFrame, class_: str | None = None) -> DataFrame:
+    """``record_id, subject, error``: the one subject of each record that has the class, or the one IRI there is if ``class_`` is unset.
+
+    Of several, IRIs alone are looked at. Where that doesn't leave one, the subject is null and the error says how many
+    there are. A class that isn't an IRI is a ValueError.
+    """
+    if class_ is not None and (not isinstance(class_, str) or ":" not in class_):
+        raise ValueError(f"a class is an IRI, not {class_!r}")
+    records = triples.select("record_id").distinct()
+    found = triples.where("s_kind = 'u'") if class_ is None else match(triples, p=TYPE, o=class_)
+    counted = found.select("record_id", "s", "s_kind").distinct().groupBy("record_id").agg(
+        F.count(F.lit(1)).alias("n"), F.min("s").alias("any"), F.count(F.when(F.col("s_kind") == "u", 1)).alias("iris"), F.min(F.when(F.col("s_kind") == "u", F.col("s"))).alias("iri")
+    )
+    one = F.when(F.col("n") == 1, F.col("any")).when(F.col("iris") == 1, F.col("iri"))
+    said = F.concat(F.coalesce("n", F.lit(0)).cast("string"), F.lit(" subjects"))
+    return records.join(counted, "record_id", "left").select("record_id", one.alias("subject"), F.when(one.isNull(), said).alias("error"))
+
+
+def skeleton(triples: DataFrame) -> DataFrame:
+    """The triples that decide which entities there are and what they are derived from: links to blank nodes, types and a few predicates."""
+    deciding = {TYPE, ADMIN, DERIVED_FROM, BF + "relation", *RELATION_PREDICATES, *(p for pair in INVERSES for p in pair)}
+    return triples.where((F.col("o_kind") == "b") | F.col("p").isin(*sorted(deciding)))
+
+
 def relation_mentions(triples: DataFrame, predicates: Sequence[str] = RELATION_PREDICATES) -> DataFrame:
     """``record_id, node``: blank nodes that only stand for the other end of a relation, and all blank nodes below."""
     relations = triples.where((F.col("p") == BF + "relation") & (F.col("o_kind") != "l")).select("record_id", F.col("o").alias("s"))
@@ -32,8 +64,8 @@ def relation_mentions(triples: DataFrame, predicates: Sequence[str] = RELATION_P
     return reach(blank_edges(triples), seeds).select("record_id", "node").distinct()
 
 
-def infer(triples: DataFrame, mentions: DataFrame, inverses: Sequence[tuple[str, str]] = INVERSES, types: Sequence[tuple[str, str]] = TYPE_RULES) -> DataFrame:
-    """``triples``, a set, with missing inverse links, and types of the links' ends unless those are mentions.
+def inferred(triples: DataFrame, mentions: DataFrame, inverses: Sequence[tuple[str, str]] = INVERSES, types: Sequence[tuple[str, str]] = TYPE_RULES) -> DataFrame:
+    """The inverse links that ``triples``, a set, doesn't have, and types of the links' ends unless those are mentions.
 
     Only links and types are compared with what is there, so the bulk of the triples isn't moved.
     """
@@ -53,17 +85,22 @@ def infer(triples: DataFrame, mentions: DataFrame, inverses: Sequence[tuple[str,
     given = linked.join(F.broadcast(rules), "p").select("record_id", F.col("o").alias("s"), F.col("o_kind").alias("s_kind"), F.lit(TYPE).alias("p"), F.col("type").alias("o")).dropDuplicates(key)
     given = given.join(mentions.withColumnRenamed("node", "s"), ["record_id", "s"], "left_anti").join(ends.where(F.col("p") == TYPE).select(*key), key, "left_anti")
     typed = given.select("record_id", "s", "s_kind", "p", "o", F.lit("u").alias("o_kind"), none.alias("o_dt"), none.alias("o_lang"))
-    return triples.select(*TRIPLE).unionByName(new_links.select(*TRIPLE)).unionByName(typed)
+    return new_links.select(*TRIPLE).unionByName(typed)
 
 
-def entities(triples: DataFrame, mentions: DataFrame, class_: str) -> DataFrame:
-    """``record_id, class, entity, kind``: subjects of the class that are no mentions; a work that is a hub is a hub only."""
+def infer(triples: DataFrame, mentions: DataFrame, **given) -> DataFrame:
+    """``triples``, a set, with what follows from its links."""
+    return triples.select(*TRIPLE).unionByName(inferred(triples, mentions, **given))
+
+
+def entities(triples: DataFrame, mentions: DataFrame, *classes: str) -> DataFrame:
+    """``record_id, class, entity, kind``: subjects of the classes that are no mentions; a work that is a hub is a hub only."""
     typed = triples.where((F.col("p") == TYPE) & (F.col("o_kind") == "u"))
-    found = typed.where(F.col("o") == class_).select("record_id", F.lit(class_).alias("class"), F.col("s").alias("entity"), F.col("s_kind").alias("kind")).distinct()
+    found = typed.where(F.col("o").isin(*classes)).select("record_id", F.col("o").alias("class"), F.col("s").alias("entity"), F.col("s_kind").alias("kind")).distinct()
     found = found.join(mentions.withColumnRenamed("node", "entity"), ["record_id", "entity"], "left_anti")
-    if class_ == WORK:
-        hubs = typed.where(F.col("o") == HUB).select("record_id", F.col("s").alias("entity"))
-        found = found.join(hubs, ["record_id", "entity"], "left_anti")
+    if WORK in classes:
+        hubs = typed.where(F.col("o") == HUB).select("record_id", F.col("s").alias("entity"), F.lit(WORK).alias("class"))
+        found = found.join(hubs, ["record_id", "entity", "class"], "left_anti")
     return found.select("record_id", "class", "entity", "kind")
 
 
@@ -79,13 +116,17 @@ def other_resources(triples: DataFrame, described: DataFrame) -> DataFrame:
 def rewrite(triples: DataFrame, renamed: DataFrame) -> DataFrame:
     """All renamings ``record_id, old, new`` at once, in subjects and objects but never in predicates or literals.
 
-    Where old and new stand in both places both are rewritten.
+    Where old and new stand in both places both are rewritten. Renamings hold inside a record, so a record's are sent to its
+    triples as one map, which is no larger than the record, and the triples are moved once.
     """
-    of = lambda side: renamed.select("record_id", F.col("old").alias(side), F.col("new").alias(f"{side}_new"))
-    named, literal = triples.where("o_kind <> 'l'"), triples.where("o_kind = 'l'")
-    named = named.join(of("o"), ["record_id", "o"], "left").withColumns({"o": F.coalesce("o_new", "o"), "o_kind": F.when(F.col("o_new").isNotNull(), "u").otherwise(F.col("o_kind"))})
-    both = named.select(*TRIPLE).unionByName(literal.select(*TRIPLE)).join(of("s"), ["record_id", "s"], "left")
-    return both.withColumns({"s": F.coalesce("s_new", "s"), "s_kind": F.when(F.col("s_new").isNotNull(), "u").otherwise(F.col("s_kind"))}).select(*TRIPLE).dropDuplicates(TRIPLE)
+    of = renamed.groupBy("record_id").agg(F.map_from_entries(F.collect_set(F.struct("old", "new"))).alias("to"))
+    met = triples.select(*TRIPLE).join(of, "record_id", "left")
+    subject, object_ = F.col("to")[F.col("s")], F.when(F.col("o_kind") != "l", F.col("to")[F.col("o")])
+    changed = met.select(
+        "record_id", F.coalesce(subject, "s").alias("s"), F.when(subject.isNotNull(), "u").otherwise(F.col("s_kind")).alias("s_kind"), "p",
+        F.coalesce(object_, "o").alias("o"), F.when(object_.isNotNull(), "u").otherwise(F.col("o_kind")).alias("o_kind"), "o_dt", "o_lang",
+    )
+    return changed.dropDuplicates(TRIPLE)
 
 
 def strip_excluded(triples: DataFrame, rules: Sequence[tuple[str, str]] = EXCLUDED) -> DataFrame:
@@ -93,51 +134,101 @@ def strip_excluded(triples: DataFrame, rules: Sequence[tuple[str, str]] = EXCLUD
     return without_nodes(triples, links_by_type(triples, list(rules)))
 
 
-def _cyclic(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Fingerprints of the nodes of one record whose blank nodes are on or above a cycle."""
-    import hashlib
+#: Visits that following all paths from the nodes of one record on or above a cycle may take.
+MOST_VISITS = 200_000
+
+
+def _digest(parts: list[str]) -> str:
+    return hashlib.sha256(("{" + "|".join(sorted(parts)) + "}").encode()).hexdigest()
+
+
+def _by_paths(fixed: dict[str, list[str]], below: dict[str, list[tuple[str, str]]], most: int) -> dict[str, str] | None:
+    """Fingerprints of the keys of ``below`` by all paths from each, where a node met again on its path is a mark; None beyond ``most`` visits."""
+    out, visits = {}, 0
+    for start in below:
+        path, done = {start}, None
+        stack = [(start, iter(below[start]), list(fixed[start]), "")]
+        while stack:
+            node, rest, parts, p = stack[-1]
+            if done is not None:
+                parts.append(p + done)
+                done = None
+            for p, o in rest:
+                if o in path:
+                    parts.append(p + "<cycle>")
+                    continue
+                visits += 1
+                if visits > most:
+                    return None
+                stack[-1] = (node, rest, parts, p)
+                stack.append((o, iter(below[o]), list(fixed[o]), ""))
+                path.add(o)
+                break
+            else:
+                done = _digest(parts)
+                stack.pop()
+                path.discard(node)
+        out[start] = done
+    return out
+
+
+def _by_colours(fixed: dict[str, list[str]], below: dict[str, list[tuple[str, str]]]) -> dict[str, str]:
+    """Fingerprints by refinement: nodes are told apart by their content, then by that of what they lead to, until no more are."""
+    colour = {n: _digest([*fixed[n], *(p + "<node>" for p, _ in below[n])]) for n in below}
+    kinds = len(set(colour.values()))
+    for _ in below:
+        colour = {n: _digest([*fixed[n], colour[n], *(p + colour[o] for p, o in below[n])]) for n in below}
+        if (now := len(set(colour.values()))) == kinds:
+            break
+        kinds = now
+    return colour
 
-    below: dict[str, list] = {}
-    for row in pdf.itertuples():
-        below.setdefault(row.s, []).append((row.p, row.o, row.o_kind, row.key))
 
-    def of(node: str, above: tuple[str, ...]) -> str:
-        parts = []
-        for p, o, kind, key in below.get(node, []):
-            if kind == "b" and key is None:
-                key = "<cycle>" if o in (*above, node) else of(o, (*above, node))
-            parts.append(p + SEPARATOR + key)
-        return hashlib.sha256(("{" + "|".join(sorted(parts)) + "}").encode()).hexdigest()
+def _cyclic(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Fingerprints of the nodes of one record whose blank nodes are on or above a cycle.
 
-    nodes = list(below)
-    return pd.DataFrame({"record_id": pdf["record_id"].iloc[0], "node": nodes, "fp": [of(n, ()) for n in nodes]})
+    Nodes are as the paths from them read; where there are too many paths, as far as refinement tells them apart.
+    """
+    fixed, below = {}, {}
+    for row in pdf.itertuples():
+        fixed.setdefault(row.s, list(row.parts))
+        below.setdefault(row.s, [])
+        if row.key is None:
+            below[row.s].append((row.p, row.o))
+        else:
+            fixed[row.s].append(row.p + row.key)
+    fps = _by_paths(fixed, below, MOST_VISITS) or _by_colours(fixed, below)
+    return pd.DataFrame({"record_id": pdf["record_id"].iloc[0], "node": list(fps), "fp": list(fps.values())})
 
 
 def fingerprints(triples: DataFrame) -> DataFrame:
     """``record_id, node, fp`` for every subject and blank node: a hash of its predicates and objects, blank nodes by their content.
 
-    Nodes are settled from the leaves up, one aggregation a level. What is left when a level settles nothing is on or above a
-    cycle; those nodes of a record are done together, as the result there depends on the path.
+    The triples are read once, into one row a node with the parts that name no blank node; nodes are settled from the leaves
+    up, and a level moves the links to blank nodes that still wait. What is left when a level settles nothing is on or above
+    a cycle; those nodes of a record are done together, as the result there depends on the path.
     """
-    open_ = checkpoint(triples.select(*TRIPLE).withColumn("key", F.when(F.col("o_kind") != "b", object_key())))
+    blank = F.col("o_kind") == "b"
+    part = F.concat(sized("p"), object_key())
+    held = triples.groupBy("record_id", "s").agg(F.collect_list(F.when(~blank, part)).alias("parts"), F.count(F.when(blank, 1)).alias("waits"))
+    held = checkpoint(held)
+    waiting = checkpoint(triples.where(blank).select("record_id", "s", sized("p").alias("p"), "o", F.lit(None).cast("string").alias("key")))
+    hashed = lambda parts: F.sha2(F.concat(F.lit("{"), F.array_join(F.sort_array(parts), "|"), F.lit("}")), 256)
     # a blank node without triples of its own has an empty content
-    own = open_.select("record_id", F.col("s").alias("o")).distinct()
-    bare = open_.where("o_kind = 'b'").select("record_id", "o").distinct().join(own, ["record_id", "o"], "left_anti").withColumn("fp", F.sha2(F.lit("{}"), 256))
-    done, settled = None, checkpoint(bare)
-    while True:
-        fill = settled.withColumnRenamed("fp", "__fp")
-        open_ = open_.join(fill, ["record_id", "o"], "left").withColumn("key", F.coalesce("key", F.when(F.col("o_kind") == "b", F.col("__fp")))).drop("__fp")
-        open_ = checkpoint(open_)
-        ready = open_.groupBy("record_id", "s").agg(F.sort_array(F.collect_list(F.concat_ws(SEPARATOR, "p", "key"))).alias("parts"), F.count(F.when(F.col("key").isNull(), 1)).alias("missing")).where("missing = 0")
-        new = checkpoint(ready.select("record_id", F.col("s").alias("o"), F.sha2(F.concat(F.lit("{"), F.concat_ws("|", "parts"), F.lit("}")), 256).alias("fp")))
-        if new.isEmpty():
+    bare = waiting.select("record_id", F.col("o").alias("node")).distinct().join(held.select("record_id", F.col("s").alias("node")), ["record_id", "node"], "left_anti").withColumn("fp", F.sha2(F.lit("{}"), 256))
+    done = checkpoint(held.where("waits = 0").select("record_id", F.col("s").alias("node"), hashed(F.col("parts")).alias("fp")).unionByName(bare))
+    open_, settled = held.where("waits > 0").select("record_id", "s", "parts"), done
+    while not waiting.isEmpty():
+        met = waiting.join(settled.select("record_id", F.col("node").alias("o"), F.col("fp").alias("__fp")), ["record_id", "o"], "left")
+        waiting = checkpoint(met.select("record_id", "s", "p", "o", F.coalesce("key", "__fp").alias("key")))
+        ready = waiting.groupBy("record_id", "s").agg(F.collect_list(F.concat("p", "key")).alias("more"), F.count(F.when(F.col("key").isNull(), 1)).alias("missing")).where("missing = 0")
+        settled = checkpoint(ready.join(open_, ["record_id", "s"]).select("record_id", F.col("s").alias("node"), hashed(F.concat("parts", "more")).alias("fp")))
+        if settled.isEmpty():
             break
-        done = new if done is None else done.unionByName(new)
-        open_ = open_.join(new.select("record_id", F.col("o").alias("s")), ["record_id", "s"], "left_anti")
-        settled = new
-    cyclic = open_.select("record_id", "s", "p", "o", "o_kind", "key").groupBy("record_id").applyInPandas(_cyclic, "record_id string, node string, fp string")
-    bare = bare.withColumnRenamed("o", "node").unionByName(cyclic)
-    return bare if done is None else done.withColumnRenamed("o", "node").unionByName(bare)
+        done = done.unionByName(settled)
+        waiting = waiting.join(settled.select("record_id", F.col("node").alias("s")), ["record_id", "s"], "left_anti")
+    cyclic = waiting.join(open_, ["record_id", "s"]).select("record_id", "s", "p", "o", "key", "parts").groupBy("record_id").applyInPandas(_cyclic, "record_id string, node string, fp string")
+    return done.unionByName(cyclic)
 
 
 def duplicate_values(triples: DataFrame, prints: DataFrame | None = None, labels: Sequence[str] = LABELS) -> DataFrame:
@@ -154,4 +245,4 @@ def bibframe_classes(described: DataFrame) -> DataFrame:
     return described.where((F.col("p") == TYPE) & (F.col("s") == F.col("entity")) & F.col("o").startswith(BF)).select("record_id", "entity", F.col("o").alias("uri")).distinct()
 
 
-__all__ = ["bibframe_classes", "carried", "description", "duplicate_values", "entities", "fingerprints", "infer", "match", "other_resources", "relation_mentions", "rewrite", "strip_excluded"]
+__all__ = ["bibframe_classes", "carried", "description", "duplicate_values", "entities", "fingerprints", "infer", "inferred", "match", "other_resources", "relation_mentions", "rewrite", "skeleton", "strip_excluded", "subjects", "value"]

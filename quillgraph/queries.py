@@ -3,23 +3,24 @@
 from __future__ import annotations
 
 import datetime
-import tempfile
-import uuid
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import triplify
-from .functions.documents import derived_from
-from .functions.terms import carried, last_segment, vocabulary_term
+from .functions.documents import derived_from, is_stub, json_string, texts_of
+from .functions.terms import carried, last_segment, numbered, vocabulary_term
 from .functions.text import address_tokens, tokens
 from .operators import graph, identity, search, upsert
 from .operators.closure import description
 from .operators.documents import framed, to_document
-from .plans.session import checkpoint
-from .schema import TRIPLE
-from .vocab import ADMIN, BF, DCTERMS, DERIVED_FROM, HAS_INSTANCE, HUB, INSTANCE, INSTANCE_OF, LABELS, LCLOCAL, MADS, NAMESPACE, RDF, RELATION_PREDICATES, TYPE, WORK
+from .plans import direct
+from .plans.session import checkpoint, scratch_path
+from .schema import LINEAGE, TRIPLE, migrate
+from .sources import files
+from .vocab import ADMIN, ADMIN_TYPE, BF, DCTERMS, DERIVED_FROM, HAS_INSTANCE, HUB, INSTANCE, INSTANCE_OF, LABELS, LCLOCAL, MADS, NAMESPACE, RDF, RELATION_PREDICATES, STATUS, STATUS_OF, STUB_STATUS, TYPE, WORK
 
 Query = Callable[[SparkSession, str], DataFrame]
 STAMP = "2024-05-06T07:08:09"
@@ -75,22 +76,28 @@ def _end(ctes: str, select: str) -> str:
     return ctes.rstrip().rstrip(",") + " " + select
 
 
-def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Inferred triples and the relation mentions."""
-    given = checkpoint(triplify.triples(spark, sf_dir))
-    mentions = checkpoint(graph.relation_mentions(given))
-    return checkpoint(graph.infer(given, mentions)), mentions
+def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All triples with the inferred ones, those of them that decide on entities, and the relation mentions."""
+    given = triplify.triples(spark, sf_dir)
+    core = checkpoint(graph.skeleton(given))
+    mentions = checkpoint(graph.relation_mentions(core))
+    new = checkpoint(graph.inferred(core, mentions))
+    return given.select(*TRIPLE).unionByName(new), core.select(*TRIPLE).unionByName(new), mentions
 
 
-def _entities(inferred: DataFrame, mentions: DataFrame) -> DataFrame:
-    out = [graph.entities(inferred, mentions, c) for c in (HUB, WORK, INSTANCE)]
-    return out[0].unionByName(out[1]).unionByName(out[2])
+def _entities(core: DataFrame, mentions: DataFrame) -> DataFrame:
+    return graph.entities(core, mentions, HUB, WORK, INSTANCE)
 
 
-def _cbd(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    inferred, mentions = _graph(spark, sf_dir)
-    found = checkpoint(_entities(inferred, mentions))
-    return checkpoint(description(inferred, found)), inferred, found
+def _described(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The descriptions of all entities, not yet computed, and the graph."""
+    inferred, core, mentions = _graph(spark, sf_dir)
+    return description(inferred, checkpoint(_entities(core, mentions))), inferred
+
+
+def _cbd(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    described, inferred = _described(spark, sf_dir)
+    return checkpoint(described), inferred
 
 
 def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,6 +110,29 @@ def scan_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.match(triplify.triples(spark, sf_dir)).groupBy("p", "s_kind", "o_kind").agg(F.count(F.lit(1)).alias("n"))
 
 
+_BOUND = f"(p = '{TYPE}' AND o = '{HUB}') OR s = 'http://ex.org/works/1' OR p = '{DERIVED_FROM}'"
+
+
+@query(_end(_T, f"SELECT DISTINCT record_id, s, p, o FROM triples WHERE {_BOUND}"))
+def match_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Patterns with one and with two positions bound."""
+    given = triplify.triples(spark, sf_dir)
+    found = graph.match(given, p=TYPE, o=HUB).unionByName(graph.match(given, s="http://ex.org/works/1")).unionByName(graph.match(given, p=DERIVED_FROM))
+    return found.select("record_id", "s", "p", "o").distinct()
+
+
+@query(_end(_T, f"SELECT record_id, s, min(o) AS value FROM triples WHERE p = '{BF}subject' GROUP BY ALL"))
+def graph_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.value(triplify.triples(spark, sf_dir), BF + "subject")
+
+
+@query(_end(_T, f"""SELECT r.record_id, CASE WHEN n = 1 THEN any_ WHEN iris = 1 THEN iri END AS subject, CASE WHEN NOT coalesce(n = 1 OR iris = 1, false) THEN CAST(coalesce(n, 0) AS VARCHAR) || ' subjects' END AS error
+    FROM (SELECT DISTINCT record_id FROM triples) r LEFT JOIN (SELECT record_id, count(DISTINCT s || s_kind) AS n, min(s) AS any_, count(DISTINCT CASE WHEN s_kind = 'u' THEN s END) AS iris, min(CASE WHEN s_kind = 'u' THEN s END) AS iri
+      FROM triples WHERE p = '{TYPE}' AND o = '{INSTANCE}' GROUP BY record_id) c ON c.record_id = r.record_id"""))
+def record_subject(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.subjects(triplify.triples(spark, sf_dir), INSTANCE)
+
+
 @query(_end(_T, f"""SELECT record_id, s, p, o, (o_kind = 'u' AND (starts_with(o, '{BF}') OR starts_with(o, '{MADS}') OR starts_with(o, '{RDF}'))) AS vocabulary, (s_kind = 'u' AND starts_with(s, '{NAMESPACE}')) AS own FROM triples WHERE {_KEPT}"""))
 def ns_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = (F.col("s_kind") == "u") & F.col("s").startswith(NAMESPACE)
@@ -114,8 +144,8 @@ def _of_class(class_: str) -> str:
 
 
 def _extract(spark: SparkSession, sf_dir: str, class_: str) -> DataFrame:
-    inferred, mentions = _graph(spark, sf_dir)
-    return graph.entities(inferred, mentions, class_).select("record_id", "entity", "kind")
+    _, core, mentions = _graph(spark, sf_dir)
+    return graph.entities(core, mentions, class_).select("record_id", "entity", "kind")
 
 
 @query(_of_class(WORK))
@@ -135,12 +165,12 @@ def type_extract_hub(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_end(_T + _MENTIONS + _INFERRED, f"SELECT record_id, s, p, o FROM inferred WHERE p IN ('{HAS_INSTANCE}', '{INSTANCE_OF}')"))
 def infer_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _graph(spark, sf_dir)[0].where(F.col("p").isin(HAS_INSTANCE, INSTANCE_OF)).select("record_id", "s", "p", "o")
+    return _graph(spark, sf_dir)[1].where(F.col("p").isin(HAS_INSTANCE, INSTANCE_OF)).select("record_id", "s", "p", "o")
 
 
 @query(_end(_T + _MENTIONS + _INFERRED, f"SELECT record_id, s, o FROM inferred WHERE p = '{TYPE}'"))
 def infer_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _graph(spark, sf_dir)[0].where(F.col("p") == TYPE).select("record_id", "s", "o")
+    return _graph(spark, sf_dir)[1].where(F.col("p") == TYPE).select("record_id", "s", "o")
 
 
 @query(_end(_T + _MENTIONS, "SELECT record_id, node FROM mentions"))
@@ -150,13 +180,13 @@ def relation_stubs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_end(_ALL, "SELECT DISTINCT record_id, root, node FROM nodes WHERE root <> node"))
 def bnode_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _cbd(spark, sf_dir)[0]
+    found = _described(spark, sf_dir)[0]
     return found.where("s <> entity").select("record_id", F.col("entity").alias("root"), F.col("s").alias("node")).distinct()
 
 
 @query(_end(_ALL, "SELECT class, entity, count(*) AS n FROM cbd GROUP BY ALL"))
 def entity_cbd_size(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _cbd(spark, sf_dir)[0].groupBy("class", "entity").agg(F.count(F.lit(1)).alias("n"))
+    return _described(spark, sf_dir)[0].groupBy("class", "entity").agg(F.count(F.lit(1)).alias("n"))
 
 
 _OTHERS = f"""others AS (SELECT DISTINCT record_id, o AS entity FROM cbd c WHERE o_kind = 'u' AND NOT (starts_with(o, '{BF}') OR starts_with(o, '{MADS}') OR starts_with(o, '{RDF}'))
@@ -166,15 +196,16 @@ _OTHERS = f"""others AS (SELECT DISTINCT record_id, o AS entity FROM cbd c WHERE
 
 @query(_end(_ALL + _OTHERS, "SELECT * FROM others"))
 def others_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, inferred, _ = _cbd(spark, sf_dir)
+    found, inferred = _cbd(spark, sf_dir)
     return graph.other_resources(inferred, found).select("record_id", "entity")
 
 
 def _resolve(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    inferred, mentions = _graph(spark, sf_dir)
-    return checkpoint(identity.resolve(inferred, _entities(inferred, mentions), NAMESPACE, _stored(spark, sf_dir))), inferred
+    inferred, core, mentions = _graph(spark, sf_dir)
+    return identity.resolve(core, _entities(core, mentions), NAMESPACE, _stored(spark, sf_dir)), inferred
 
 
+_EMPTY = f"""resolved_empty AS (SELECT record_id, class, entity AS old, coalesce(inside, '{NAMESPACE}' || kind_name || '/' || {_UUID}) AS new FROM hashed), """
 _ID = _T + _MENTIONS + _INFERRED + _ENTITIES + _STORED + _RESOLVED
 
 
@@ -201,7 +232,8 @@ _REWRITTEN = """rewritten AS MATERIALIZED (SELECT DISTINCT t.record_id, coalesce
 
 def _rewritten(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     resolved, inferred = _resolve(spark, sf_dir)
-    return checkpoint(graph.rewrite(inferred, resolved.groupBy("record_id", "old").agg(F.min("new").alias("new")))), resolved
+    resolved = checkpoint(resolved)
+    return graph.rewrite(inferred, resolved.groupBy("record_id", "old").agg(F.min("new").alias("new"))), resolved
 
 
 @query(_end(_ID + _RENAMES + _REWRITTEN, "SELECT record_id, s, p, o, s_kind, o_kind FROM rewritten"))
@@ -212,23 +244,60 @@ def replace_uri(spark: SparkSession, sf_dir: str) -> DataFrame:
 _BLOCKS = " UNION ALL ".join(
     f"SELECT record_id, {s} AS s, '{p}' AS p, {o} AS o FROM made"
     for s, p, o in [
-        ("uri", ADMIN, "n1"), ("n1", TYPE, f"'{BF}AdminMetadata'"), ("n1", BF + "agent", "'http://id.loc.gov/vocabulary/organizations/cbc'"), ("n1", BF + "date", f"'{STAMP}'"), ("n1", DERIVED_FROM, "source"), ("n1", BF + "status", "'http://id.loc.gov/vocabulary/mstatus/c'"),
+        ("uri", ADMIN, "n1"), ("n1", TYPE, f"'{BF}AdminMetadata'"), ("n1", BF + "agent", "'http://id.loc.gov/vocabulary/organizations/cbc'"), ("n1", BF + "date", f"'{STAMP}'"), ("n1", DERIVED_FROM, "source"), ("n1", BF + "status", "CASE WHEN stub THEN 'http://id.loc.gov/vocabulary/mstatus/incmp' ELSE 'http://id.loc.gov/vocabulary/mstatus/c' END"),
         ("uri", ADMIN, "n2"), ("n2", TYPE, f"'{BF}AdminMetadata'"), ("n2", "http://id.loc.gov/ontologies/bflc/catalogerId", "'Unknown'"), ("n2", BF + "descriptionAuthentication", "'http://id.loc.gov/vocabulary/marcauthen/pcc'"),
         ("n2", BF + "date", f"'{STAMP[:10]}'"), ("n2", BF + "descriptionLanguage", "'http://id.loc.gov/vocabulary/languages/eng'"), ("n2", BF + "descriptionLevel", "'http://id.loc.gov/ontologies/bibframe-2-6-0/'"),
     ]
 )
 
 
-@query(_end(_ID + _RENAMES + _REWRITTEN + f"""changed AS (SELECT record_id, new AS uri, min(old) AS source FROM resolved WHERE old_kind = 'u' GROUP BY ALL),
+_FLAGS = f"""marked AS (SELECT DISTINCT a.record_id, a.s FROM triples a JOIN triples m ON m.record_id = a.record_id AND m.s = a.o WHERE a.p = '{ADMIN}' AND a.o_kind <> 'l' AND m.p = '{BF}status' AND m.o = '{STUB_STATUS}'),
+    described AS (SELECT DISTINCT record_id, s FROM triples t WHERE p = '{ADMIN}' AND NOT EXISTS (SELECT 1 FROM marked m WHERE m.record_id = t.record_id AND m.s = t.s)), """
+
+
+@query(_end(_T + _FLAGS, "SELECT record_id, s, 'described' AS is FROM described UNION ALL SELECT record_id, s, 'marked' AS is FROM marked"))
+def described_and_marked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Subjects that came described, and those that are marked as stubs."""
+    given = checkpoint(triplify.triples(spark, sf_dir).where(F.col("p").isin(ADMIN, STATUS_OF)))
+    return identity.described_subjects(given).withColumn("is", F.lit("described")).unionByName(identity.marked_stubs(given).withColumn("is", F.lit("marked")))
+
+
+_ARRIVED = """arrived AS (SELECT r.record_id, r.new AS uri, r.old, (EXISTS (SELECT 1 FROM described d WHERE d.record_id = r.record_id) AND NOT EXISTS (SELECT 1 FROM described d WHERE d.record_id = r.record_id AND (d.s = r.old OR d.s = r.new))) AS stub FROM resolved r), """
+
+
+def _arrived(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    resolved, inferred = _resolve(spark, sf_dir)
+    resolved = checkpoint(resolved)
+    described = identity.described_subjects(checkpoint(triplify.triples(spark, sf_dir).where(F.col("p").isin(ADMIN, STATUS_OF))))
+    return checkpoint(identity.arrived(resolved.select("record_id", F.col("new").alias("uri"), "old", "old_kind"), described)), inferred
+
+
+@query(_end(_ID + _FLAGS + _ARRIVED, "SELECT * FROM arrived"))
+def arrived_as_stub(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _arrived(spark, sf_dir)[0].select("record_id", "uri", "old", "stub")
+
+
+@query(_end(_T, f"""SELECT DISTINCT t.record_id, t.s, t.p, CASE WHEN t.p = '{BF}status' AND t.o = '{STUB_STATUS}' AND EXISTS (SELECT 1 FROM triples a WHERE a.record_id = t.record_id AND a.s = t.s AND a.p = '{TYPE}' AND a.o = '{ADMIN_TYPE}')
+    THEN '{STATUS}' ELSE t.o END AS o FROM triples t"""))
+def clear_stub(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identity.clear_stub_marker(triplify.triples(spark, sf_dir)).select("record_id", "s", "p", "o").distinct()
+
+
+_STATUS_ROWS = " UNION ALL ".join(f"SELECT record_id, '{STUB_STATUS}' AS s, '{p}' AS p, '{o}' AS o FROM changed WHERE stub" for p, o in ((TYPE, BF + "Status"), (LABELS[1], "incomplete"), (BF + "code", "incmp")))
+
+
+@query(_end(_ID + _FLAGS + _ARRIVED + _RENAMES + _REWRITTEN + f"""changed AS (SELECT r.record_id, r.new AS uri, min(r.old) AS source, bool_and(a.stub) AS stub FROM resolved r JOIN arrived a ON a.record_id = r.record_id AND a.old = r.old AND a.uri = r.new WHERE r.old_kind = 'u' GROUP BY r.record_id, r.new),
     made AS (SELECT *, 'admin1-' || sha256(uri || chr(10) || source) AS n1, 'admin2-' || sha256(uri || chr(10) || source) AS n2 FROM changed),
     doomed AS (SELECT r.record_id, r.o AS node FROM rewritten r JOIN changed c ON c.record_id = r.record_id AND c.uri = r.s WHERE r.p = '{ADMIN}' AND r.o_kind = 'b'
       UNION SELECT r.record_id, r.o FROM doomed d JOIN rewritten r ON r.record_id = d.record_id AND r.s = d.node WHERE r.o_kind = 'b'), """, f"""
-    SELECT DISTINCT record_id, s, p, o FROM ({_BLOCKS} UNION ALL SELECT record_id, s, p, o FROM rewritten r WHERE NOT EXISTS (SELECT 1 FROM doomed d WHERE d.record_id = r.record_id AND d.node = r.s)
+    SELECT DISTINCT record_id, s, p, o FROM ({_BLOCKS} UNION ALL {_STATUS_ROWS} UNION ALL SELECT record_id, s, p, o FROM rewritten r WHERE NOT EXISTS (SELECT 1 FROM doomed d WHERE d.record_id = r.record_id AND d.node = r.s)
       AND NOT (p = '{ADMIN}' AND o_kind = 'b' AND EXISTS (SELECT 1 FROM changed c WHERE c.record_id = r.record_id AND c.uri = r.s)))"""))
 def admin_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rewritten, resolved = _rewritten(spark, sf_dir)
-    changed = resolved.where("old_kind = 'u'").groupBy("record_id", F.col("new").alias("uri")).agg(F.min("old").alias("source")).withColumn("stub", F.lit(False))
-    return identity.with_admin_metadata(rewritten, changed, STAMP).select("record_id", "s", "p", "o")
+    """New administrative metadata, with the status of what came as a stub only."""
+    arrived, inferred = _arrived(spark, sf_dir)
+    rewritten = checkpoint(graph.rewrite(inferred, arrived.groupBy("record_id", "old").agg(F.min("uri").alias("new"))))
+    changed = arrived.where("old_kind = 'u'").groupBy("record_id", "uri").agg(F.min("old").alias("source"), F.min("stub").alias("stub"))
+    return identity.with_admin_metadata(rewritten, changed, STAMP).select("record_id", "s", "p", "o").distinct()
 
 
 @query(_end(_T + f"""gone AS (SELECT t.record_id, t.o AS node FROM triples t JOIN triples y ON y.record_id = t.record_id AND y.s = t.o WHERE t.o_kind = 'b' AND t.p = '{BF}identifiedBy' AND y.p = '{TYPE}' AND y.o = '{BF}OclcNumber'
@@ -238,13 +307,16 @@ def strip_excluded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.strip_excluded(checkpoint(triplify.triples(spark, sf_dir))).select("record_id", "s", "p", "o")
 
 
-_SEP = "'␟'"
-_KEY = f"CASE WHEN o_kind = 'l' THEN 'lit' || {_SEP} || o || {_SEP} || coalesce(o_dt, '') || {_SEP} || coalesce(o_lang, '') ELSE 'ref' || {_SEP} || o END"
+def _sized(x: str) -> str:
+    return f"CAST(length({x}) AS VARCHAR) || ':' || {x}"
+
+
+_KEY = f"CASE WHEN t.o_kind = 'l' THEN 'lit' || {_sized('t.o')} || {_sized("coalesce(t.o_dt, '')")} || {_sized("coalesce(t.o_lang, '')")} ELSE 'ref' || {_sized('t.o')} END"
 _LEVEL = "sha256('{' || string_agg(part, '|' ORDER BY part) || '}')"
-_PRINTS = f"""level0 AS MATERIALIZED (SELECT record_id, s, {_LEVEL} AS fp FROM (SELECT record_id, s, p || {_SEP} || {_KEY} AS part FROM triples t WHERE s_kind = 'b'
+_PRINTS = f"""level0 AS MATERIALIZED (SELECT record_id, s, {_LEVEL} AS fp FROM (SELECT record_id, s, {_sized('t.p')} || {_KEY} AS part FROM triples t WHERE s_kind = 'b'
       AND NOT EXISTS (SELECT 1 FROM triples n WHERE n.record_id = t.record_id AND n.s = t.s AND n.o_kind = 'b')) GROUP BY record_id, s),
     """ + "".join(
-    f"""level{k} AS MATERIALIZED (SELECT record_id, s, fp FROM level{k - 1} UNION ALL SELECT record_id, s, {_LEVEL} AS fp FROM (SELECT t.record_id, t.s, t.p || {_SEP} || CASE WHEN t.o_kind = 'b' THEN d.fp ELSE {_KEY.replace('o_kind', 't.o_kind').replace("|| o ", "|| t.o ").replace('|| o END', '|| t.o END')} END AS part
+    f"""level{k} AS MATERIALIZED (SELECT record_id, s, fp FROM level{k - 1} UNION ALL SELECT record_id, s, {_LEVEL} AS fp FROM (SELECT t.record_id, t.s, {_sized('t.p')} || CASE WHEN t.o_kind = 'b' THEN d.fp ELSE {_KEY} END AS part
       FROM triples t LEFT JOIN level{k - 1} d ON d.record_id = t.record_id AND d.s = t.o AND t.o_kind = 'b' WHERE t.s_kind = 'b' AND NOT EXISTS (SELECT 1 FROM level{k - 1} x WHERE x.record_id = t.record_id AND x.s = t.s)
       AND NOT EXISTS (SELECT 1 FROM triples n LEFT JOIN level{k - 1} y ON y.record_id = n.record_id AND y.s = n.o WHERE n.record_id = t.record_id AND n.s = t.s AND n.o_kind = 'b' AND y.fp IS NULL)) GROUP BY record_id, s), """
     for k in (1, 2, 3)
@@ -260,7 +332,7 @@ def fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
       WHERE p IN ({', '.join(f"'{p}'" for p in LABELS)})) GROUP BY ALL), """, """SELECT t.record_id, t.s, t.p, count(*) AS copies, min(n.label) AS label FROM triples t JOIN level3 l ON l.record_id = t.record_id AND l.s = t.o
       LEFT JOIN named n ON n.record_id = t.record_id AND n.s = t.o WHERE t.o_kind = 'b' GROUP BY t.record_id, t.s, t.p, l.fp HAVING count(*) > 1"""))
 def duplicate_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    given = checkpoint(triplify.triples(spark, sf_dir))
+    given = triplify.triples(spark, sf_dir)
     return graph.duplicate_values(given, graph.fingerprints(given.where("s_kind = 'b'")))
 
 
@@ -329,13 +401,16 @@ def bf_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.bibframe_classes(_cbd(spark, sf_dir)[0]).withColumn("name", last_segment("uri"))
 
 
-_OLD_NEW = "old_ AS (SELECT DISTINCT user_id AS resource_id, event_type AS uri FROM events WHERE event_id % 9 = 0), new_ AS (SELECT DISTINCT user_id AS resource_id, event_type AS uri FROM events WHERE event_id % 9 = 1) "
+_OLD_NEW = "dealt AS (SELECT user_id AS resource_id, event_type || '-' || CAST(CAST(floor(value) AS BIGINT) AS STRING) AS uri, event_id % 2 = 0 AS old_ FROM events) "
 
 
-@query("WITH " + _OLD_NEW + "SELECT *, 'removed' AS change FROM (SELECT * FROM old_ EXCEPT SELECT * FROM new_) UNION ALL SELECT *, 'added' AS change FROM (SELECT * FROM new_ EXCEPT SELECT * FROM old_)")
+@query("WITH " + _OLD_NEW + """SELECT *, 'removed' AS change FROM (SELECT resource_id, uri FROM dealt WHERE old_ EXCEPT SELECT resource_id, uri FROM dealt WHERE NOT old_)
+    UNION ALL SELECT *, 'added' AS change FROM (SELECT resource_id, uri FROM dealt WHERE NOT old_ EXCEPT SELECT resource_id, uri FROM dealt WHERE old_)""")
 def class_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("resource_id"), F.col("event_type").alias("uri"))
-    return upsert.class_changes(e.where("event_id % 9 = 0").drop("event_id"), e.where("event_id % 9 = 1").drop("event_id"))
+    """All events, dealt by turns into the old classes of users and the new ones."""
+    uri = F.concat("event_type", F.lit("-"), F.floor("value").cast("string"))
+    e = _table(spark, sf_dir, "events").select(F.col("user_id").alias("resource_id"), uri.alias("uri"), (F.col("event_id") % 2 == 0).alias("old_"))
+    return upsert.class_changes(e.where("old_").drop("old_"), e.where("not old_").drop("old_"))
 
 
 @query("""SELECT 's' || CAST(l_suppkey AS STRING) AS instance, arg_max('p' || CAST(l_partkey AS STRING), lpad(CAST(l_orderkey AS STRING), 20, '0') || 'p' || CAST(l_partkey AS STRING)) AS work FROM lineitem GROUP BY l_suppkey""")
@@ -346,7 +421,7 @@ def link_instance_work(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_end(_ALL + _OTHERS, "SELECT DISTINCT c.record_id, c.entity, c.o AS other FROM cbd c JOIN others x ON x.record_id = c.record_id AND x.entity = c.o WHERE c.class <> '" + HUB + "' AND c.o_kind = 'u'"))
 def link_others(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, inferred, _ = _cbd(spark, sf_dir)
+    found, inferred = _cbd(spark, sf_dir)
     others = graph.other_resources(inferred, found).select("record_id", F.col("entity").alias("other"))
     named = found.where((F.col("class") != HUB) & (F.col("o_kind") == "u")).select("record_id", "entity", F.col("o").alias("other")).distinct()
     return named.join(others, ["record_id", "other"], "left_semi").select("record_id", "entity", "other")
@@ -397,7 +472,7 @@ def _index(spark: SparkSession, sf_dir: str, configs: tuple[str, ...] = ("simple
     """Parts as resources: the name as the title, the brand as the subtitle, brand, type and name as the text."""
     p = _table(spark, sf_dir, "part")
     sections = [("A", tokens("p_name")), ("B", tokens("p_brand")), ("D", tokens(F.concat_ws(" ", "p_brand", "p_type", "p_name")))]
-    return search.postings_of(p, sections, "p_partkey", configs)
+    return search.postings_of(p, sections, "p_partkey", configs)  # a query reads it once
 
 
 _POSTINGS = """sections AS (SELECT p_partkey, unnest([{w: 'A', x: p_name, k: 1}, {w: 'B', x: p_brand, k: 2}, {w: 'D', x: p_brand || ' ' || p_type || ' ' || p_name, k: 3}]) AS z FROM part),
@@ -451,13 +526,18 @@ def search_unaccent(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_end(_P, """SELECT resource_id, sum(v / (k * k)) / 2 AS rank FROM (SELECT resource_id, t, CASE weight WHEN 'A' THEN 1.0::DOUBLE WHEN 'B' THEN 0.4::DOUBLE WHEN 'C' THEN 0.2::DOUBLE ELSE 0.1::DOUBLE END AS v, row_number() OVER (PARTITION BY resource_id, t ORDER BY weight, pos) AS k
       FROM (SELECT *, 'a' AS t FROM postings WHERE starts_with(lexeme, 'la') UNION ALL SELECT *, 'b' FROM postings WHERE lexeme = 'brand')) WHERE resource_id IN (""" + _having("la", "*") + " INTERSECT " + _having("brand") + ") GROUP BY resource_id"))
 def search_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.rank(_index(spark, sf_dir), search.parse_query("la:* & brand", "simple"))
+    return search.best(_index(spark, sf_dir), search.parse_query("la:* & brand", "simple"))
 
 
-@query()
+@query(_end(_P, _having("cold") + " INTERSECT " + _having("widget")))
 def search_english(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = search.postings_of(_table(spark, sf_dir, "documents"), [("D", tokens("text"))], "doc_id", ("english",))
-    return search.match(index, search.plain_query("tioning", "english"))
+    """Stop words are left out of a plain query and plurals meet their stem."""
+    return search.match(_index(spark, sf_dir, ("english",)), search.plain_query("The cold widgets of them", "english"))
+
+
+@query(_end(_P, f"SELECT resource_id FROM postings WHERE starts_with(lexeme, 'bol') AND weight = 'A' UNION ({_having('econom', '*')} EXCEPT {_having('ring')})"))
+def search_english_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.match(_index(spark, sf_dir, ("english",)), search.parse_query("bolts:*A | economy & !rings", "english"))
 
 
 @query(r"""WITH u AS (SELECT page_id, lower(regexp_replace(url, '^[A-Za-z][A-Za-z0-9+.\-]*://', '')) AS whole FROM pages), h AS (SELECT page_id, whole, regexp_extract(whole, '^([^/?#]*)', 1) AS host FROM u)
@@ -490,16 +570,135 @@ def delete_using(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upsert.delete_using(lines, _resources(spark, sf_dir).where("type = 'other_resources'"), "id").withColumnRenamed("id", "l_partkey")
 
 
-@query()
+@query("WITH " + _RES + "SELECT id, type, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-4' || substr(h, 14, 3) || '-a' || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS uuid, 'https://data.example.org/profiles/' || substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-4' || substr(h, 14, 3) || '-a' || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS uri FROM (SELECT *, sha256('profile' || chr(10) || CAST(id AS STRING)) AS h FROM res)")
+def mint_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bare = _resources(spark, sf_dir).select("id", "type", F.lit(None).cast("string").alias("uuid"), F.lit(None).cast("string").alias("uri"))
+    return direct.mint_profiles(bare, "https://data.example.org/")
+
+
+@query("WITH " + _RES + "SELECT id, CASE WHEN id IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49) THEN 'other_resources' ELSE type END AS type, CASE WHEN id NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49) THEN 'u' || CAST(id AS STRING) END AS uri FROM res")
+def unmint_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = _table(spark, sf_dir, "lineitem").where("l_quantity > 49").select(F.col("l_partkey").alias("id"))
+    uri = F.concat(F.lit("u"), F.col("id").cast("string"))
+    return direct.unmint_profiles(upsert.move_subtype(_resources(spark, sf_dir), moved, "profiles").withColumns({"uuid": F.col("id").cast("string"), "uri": uri})).select("id", "type", "uri")
+
+
+@query("WITH " + _RES + "SELECT id, type, data, CAST(NULL AS STRING) AS derived_from, CAST(NULL AS BOOLEAN) AS is_stub, CAST(NULL AS STRING) AS content_hash, CAST(NULL AS BIGINT) AS hub_id FROM res")
+def migrate_resources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the first layout taken to the present one; going back leaves what they had."""
+    old = _resources(spark, sf_dir).select("id", "type", "data")
+    new = migrate("resource_base", old)
+    return migrate("resource_base", migrate("resource_base", new, len(LINEAGE), 0)).select("id", "type", "data", "derived_from", "is_stub", "content_hash", "hub_id")
+
+
+@query("""SELECT 'work_instances' AS way, l_partkey AS from_id, l_orderkey * 10 + l_linenumber AS to_id FROM lineitem UNION ALL SELECT 'instance_work', l_orderkey * 10 + l_linenumber, l_partkey FROM lineitem
+    UNION ALL SELECT 'hub_works', CAST(p_size AS BIGINT), p_partkey FROM part UNION ALL SELECT 'resource_others', l_partkey, l_suppkey FROM lineitem UNION ALL SELECT 'resource_versions', user_id, event_id FROM events""")
+def navigation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ways between rows: parts as works of hubs by size, lines as their instances, suppliers as other resources, events as versions."""
+    none = F.lit(None).cast("long")
+    line, part, event = (_table(spark, sf_dir, n) for n in ("lineitem", "part", "events"))
+    works = part.select(F.col("p_partkey").alias("id"), F.lit("works").alias("type"), F.col("p_size").cast("long").alias("hub_id"), none.alias("work_id"))
+    instances = line.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.lit("instances").alias("type"), none.alias("hub_id"), F.col("l_partkey").alias("work_id"))
+    tables = {
+        "resource_base": works.unionByName(instances), "versions": event.select(F.col("event_id").alias("id"), F.col("user_id").alias("resource_id")), "resource_bibframe_classes": works.select(F.col("id").alias("bf_class_id"), F.col("id").alias("resource_id")),
+        "bibframe_other_resources": line.select(F.col("l_suppkey").alias("other_resource_id"), F.col("l_partkey").alias("bibframe_resource_id")),
+    }
+    ways = direct.views(tables)
+    out = [ways[n].select(F.lit(n).alias("way"), "from_id", "to_id") for n in ("work_instances", "instance_work", "hub_works", "resource_others", "resource_versions")]
+    return reduce(DataFrame.unionByName, out)
+
+
+@query("""SELECT 'http://ex.org/part/' || CAST(p_partkey AS STRING) AS uri, CASE WHEN p_partkey % 4 = 0 THEN 'profiles' ELSE 'works' END AS type, CASE WHEN p_partkey % 4 = 0 THEN '{"b": 1, "a": "' || p_name || '"}'
+    ELSE '{"@id": "http://ex.org/part/' || CAST(p_partkey AS STRING) || '", "@type": "Work", "title": {"@type": "Title", "mainTitle": ' || CASE WHEN p_partkey % 4 = 1 THEN '["' || least(p_name, p_brand) || '", "' || greatest(p_name, p_brand) || '"]' ELSE '"' || p_name || '"' END || '}}' END AS data FROM part""")
+def direct_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as they are stored: profiles as given, others with the default context, framed, without it."""
+    uri = F.concat(F.lit("http://ex.org/part/"), F.col("p_partkey").cast("string"))
+    given = F.when(F.col("p_partkey") % 4 == 0, F.concat(F.lit('{"b": 1, "a": "'), "p_name", F.lit('"}'))).otherwise(
+        F.concat(F.lit('{"title": {"mainTitle": ["'), "p_name", F.lit('"'), F.when(F.col("p_partkey") % 4 == 1, F.concat(F.lit(', "'), "p_brand", F.lit('"'))).otherwise(""), F.lit('], "@type": "Title"}, "@type": ["Work"], "@id": "'), uri, F.lit('"}'))
+    )
+    docs = _table(spark, sf_dir, "part").select(uri.alias("uri"), F.when(F.col("p_partkey") % 4 == 0, "profiles").otherwise("works").alias("type"), given.alias("data"))
+    return direct.as_stored(docs)[0]
+
+
+_MAIN_TITLES = """CASE event_id % 4 WHEN 0 THEN '{"title":{"mainTitle":"x' || CAST(user_id AS STRING) || '"}}' WHEN 1 THEN '{"title":[{"mainTitle":"y"},{"subtitle":"z"},{"mainTitle":"' || event_type || '"}]}'
+    WHEN 2 THEN '{"title":null,"adminMetadata":{"status":[{"@id":"' || CASE WHEN user_id % 2 = 0 THEN 'http://id.loc.gov/vocabulary/mstatus/incmp' ELSE 'c' END || '"}]}}' ELSE '{"adminMetadata":[{"status":{"@id":"http://id.loc.gov/vocabulary/mstatus/incmp"}}]}' END"""
+
+
+@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'x' || CAST(user_id AS STRING) WHEN 1 THEN 'y ' || event_type ELSE '' END AS titles, CASE event_id % 4 WHEN 2 THEN user_id % 2 = 0 WHEN 3 THEN true ELSE false END AS stub FROM events")
+def document_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts at a path over objects and arrays of them, and whether a stored document is marked as a stub."""
+    d = _table(spark, sf_dir, "events").select("event_id", F.expr(_MAIN_TITLES).alias("d"))
+    return d.select("event_id", texts_of("d", "title", "mainTitle").alias("titles"), is_stub("d", STUB_STATUS).alias("stub"))
+
+
+@query("SELECT o_custkey, o_orderkey, 100 + row_number() OVER (ORDER BY o_custkey, o_orderkey) AS id FROM orders")
+def ordered_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Consecutive numbers in order, dealt out without gathering rows."""
+    return numbered(_table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey"), ["o_custkey", "o_orderkey"], 100)
+
+
+# Records written out in a format and read again; labels of blank nodes aren't compared, as readers give their own.
+_READ = _end(_T, """SELECT record_id, p, s_kind, CASE WHEN s_kind = 'u' THEN s END AS s, o_kind, CASE WHEN o_kind <> 'b' THEN o END AS o, CASE WHEN o_kind = 'l' THEN o_dt END AS o_dt, CASE WHEN o_kind = 'l' THEN o_lang END AS o_lang, count(*) AS n
+    FROM (SELECT DISTINCT * FROM triples) GROUP BY ALL""")
+
+
+def _read_again(spark: SparkSession, sf_dir: str, format_: str, line: Column, head: str, join: str, tail: str) -> DataFrame:
+    rows = triplify.triples(spark, sf_dir).select(*TRIPLE).distinct()
+    texts = rows.groupBy("record_id").agg(F.concat(F.lit(head), F.array_join(F.collect_list(line), join), F.lit(tail)).alias("body")).withColumn("format", F.lit(format_))
+    found = files.parse_records(texts)
+    plain = lambda c, keep: F.when(keep, F.col(c)).alias(c)
+    literal = F.col("o_kind") == "l"
+    return found.where("error is null").select("record_id", "p", "s_kind", plain("s", F.col("s_kind") == "u"), "o_kind", plain("o", F.col("o_kind") != "b"), plain("o_dt", literal), plain("o_lang", literal)).groupBy("record_id", "p", "s_kind", "s", "o_kind", "o", "o_dt", "o_lang").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _named(c: str, iri: tuple[str, str], blank: tuple[str, str]) -> Column:
+    return F.when(F.col(f"{c}_kind") == "u", F.concat(F.lit(iri[0]), F.col(c), F.lit(iri[1]))).otherwise(F.concat(F.lit(blank[0]), F.col(c), F.lit(blank[1])))
+
+
+@query(_READ)
+def read_turtle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    literal = F.concat(json_string("o"), F.coalesce(F.concat(F.lit("@"), "o_lang"), F.concat(F.lit("^^<"), "o_dt", F.lit(">")), F.lit("")))
+    line = F.concat(_named("s", ("<", ">"), ("_:", "")), F.lit(" <"), "p", F.lit("> "), F.when(F.col("o_kind") == "l", literal).otherwise(_named("o", ("<", ">"), ("_:", ""))), F.lit(" ."))
+    return _read_again(spark, sf_dir, "ttl", line, "", "\n", "\n")
+
+
+@query(_READ)
+def read_rdfxml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    safe = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit('"'), F.lit("&quot;"))
+    space, name = F.regexp_extract("p", "^(.*[/#])([^/#]*)$", 1), F.regexp_extract("p", "^(.*[/#])([^/#]*)$", 2)
+    how = F.coalesce(F.concat(F.lit(' xml:lang="'), "o_lang", F.lit('"')), F.concat(F.lit(' rdf:datatype="'), "o_dt", F.lit('"')), F.lit(""))
+    value = F.when(F.col("o_kind") == "l", F.concat(how, F.lit(">"), safe(F.col("o")), F.lit("</n:"), name, F.lit(">"))).otherwise(F.concat(_named("o", (' rdf:resource="', '"/>'), (' rdf:nodeID="', '"/>'))))
+    line = F.concat(F.lit("<rdf:Description"), _named("s", (' rdf:about="', '">'), (' rdf:nodeID="', '">')), F.lit("<n:"), name, F.lit(' xmlns:n="'), space, F.lit('"'), value, F.lit("</rdf:Description>"))
+    return _read_again(spark, sf_dir, "rdf", line, f'<rdf:RDF xmlns:rdf="{RDF}">', "", "</rdf:RDF>")
+
+
+@query(_READ)
+def read_jsonld(spark: SparkSession, sf_dir: str) -> DataFrame:
+    literal = F.concat(F.lit('{"@value":'), json_string("o"), F.when(F.col("o_lang").isNotNull(), F.concat(F.lit(',"@language":'), json_string("o_lang"))).when(F.col("o_dt").isNotNull(), F.concat(F.lit(',"@type":'), json_string("o_dt"))).otherwise(""), F.lit("}"))
+    ident = lambda c: json_string(_named(c, ("", ""), ("_:", "")))
+    line = F.concat(F.lit('{"@id":'), ident("s"), F.lit(","), json_string("p"), F.lit(":["), F.when(F.col("o_kind") == "l", literal).otherwise(F.concat(F.lit('{"@id":'), ident("o"), F.lit("}"))), F.lit("]}"))
+    return _read_again(spark, sf_dir, "jsonld", line, "[", ",", "]")
+
+
+_DOUBLED = f"""doubled AS (SELECT t.record_id FROM triples t JOIN level3 l ON l.record_id = t.record_id AND l.s = t.o WHERE t.o_kind = 'b' GROUP BY t.record_id, t.s, t.p, l.fp HAVING count(*) > 1),
+    mixed AS (SELECT record_id FROM entities GROUP BY record_id, entity HAVING count(DISTINCT class) > 1),
+    unlinked AS (SELECT DISTINCT i.record_id FROM inferred i JOIN entities e ON e.record_id = i.record_id AND e.entity = i.s AND e.class = '{INSTANCE}' WHERE i.p = '{INSTANCE_OF}' AND i.o_kind <> 'l'
+      AND NOT EXISTS (SELECT 1 FROM entities w WHERE w.record_id = i.record_id AND w.entity = i.o AND w.class = '{WORK}') AND NOT EXISTS (SELECT 1 FROM mentions m WHERE m.record_id = i.record_id AND m.node = i.o)),
+    rejected AS (SELECT record_id, min(reason) AS reason FROM (SELECT record_id, 'a blank node value is held twice' AS reason FROM doubled UNION ALL SELECT record_id, 'a subject has two main classes' FROM mixed UNION ALL SELECT record_id, 'an instance of what is no work' FROM unlinked) GROUP BY record_id), """
+
+
+@query(_end(_ID + _EMPTY + _PRINTS + _DOUBLED, f"""SELECT 'reject' AS what, record_id AS name, reason AS said FROM rejected
+    UNION ALL SELECT DISTINCT CASE e.class WHEN '{HUB}' THEN 'hubs' WHEN '{WORK}' THEN 'works' ELSE 'instances' END, coalesce(r.new, e.entity), NULL FROM entities e LEFT JOIN resolved_empty r ON r.record_id = e.record_id AND r.old = e.entity
+      WHERE NOT EXISTS (SELECT 1 FROM rejected x WHERE x.record_id = e.record_id)"""))
 def save_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every record saved in one batch to an empty store; what was decided, by type."""
+    """Every record saved in one batch to an empty store: the records left out, and the hubs, works and instances stored."""
     from .plans.save import save_graph
     from .plans.store import Store
 
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillgraph-")
-    store = Store(spark, f"{base}/store-{uuid.uuid4().hex}")
+    store = Store(spark, scratch_path(spark, "store"))
     out = save_graph(store, triplify.triples(spark, sf_dir).select(*TRIPLE), stamp=datetime.datetime(2024, 5, 6, tzinfo=datetime.UTC))
-    return out.decisions.groupBy("type", "action").agg(F.count(F.lit(1)).alias("n"))
+    kept = store.resources().where("type in ('hubs', 'works', 'instances')").select(F.col("type").alias("what"), F.col("uri").alias("name"), F.lit(None).cast("string").alias("said"))
+    return out.rejects.select(F.lit("reject").alias("what"), F.col("record_id").alias("name"), F.col("reason").alias("said")).unionByName(kept)
 
 
 @query()

@@ -6,9 +6,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.terms import numbered
+from ..plans.session import checkpoint
 from ..schema import TRIPLE, TRIPLES
 from . import jsonld, rdfxml, turtle
 
+#: Triples after which a reader hands on what it has.
+ROWS = 5000
+
 #: Readers by file extension; others are read as JSON-LD.
 FORMATS = {"ttl": turtle.parse, "turtle": turtle.parse, "n3": turtle.parse, "nt": turtle.parse, "xml": rdfxml.parse, "rdf": rdfxml.parse, "jsonld": jsonld.parse, "json": jsonld.parse}
 
@@ -17,10 +22,6 @@ def parse(text: str, format_: str) -> list[jsonld.Triple]:
     return FORMATS.get(format_, jsonld.parse)(text)
 
 
-def _frame(record: str, triples: list[jsonld.Triple]) -> pd.DataFrame:
-    return pd.DataFrame([(record, *t) for t in triples], columns=TRIPLE, dtype=object)
-
-
 def empty_graph(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], TRIPLES)
 
@@ -39,23 +40,31 @@ def parse_records(records: DataFrame) -> DataFrame:
 
     def run(batches):
         for pdf in batches:
+            out: list[tuple] = []
             for record, body, format_ in zip(pdf["record_id"], pdf["body"], pdf["format"], strict=True):
                 try:
-                    out = _frame(record, parse(body, format_))
-                    out["error"] = None
+                    out += [(record, *t, None) for t in parse(body, format_)]
                 except Exception as e:  # noqa: BLE001  whatever is wrong with the record goes into its row
-                    out = pd.DataFrame([(record, *[None] * 7, f"{type(e).__name__}: {e}"[:500])], columns=[*TRIPLE, "error"], dtype=object)
-                yield out
+                    out.append((record, *[None] * 7, f"{type(e).__name__}: {e}"[:500]))
+                if len(out) >= ROWS:
+                    yield pd.DataFrame(out, columns=[*TRIPLE, "error"], dtype=object)
+                    out = []
+            yield pd.DataFrame(out, columns=[*TRIPLE, "error"], dtype=object)
 
     return records.select("record_id", "body", "format").mapInPandas(run, TRIPLES + ", error string")
 
 
+def record_order(records: DataFrame) -> DataFrame:
+    """``record_id, seq``: records numbered from one in the order of their names."""
+    return numbered(records.select("record_id").distinct(), ["record_id"], 0, "seq")
+
+
 def read_graphs(spark: SparkSession, path: str, pattern: str = "*") -> tuple[DataFrame, DataFrame]:
     """Triples of all files under a path, each a record, and ``record_id, error`` of those that can't be read.
 
-    Files without triples have no rows. Records are numbered by ``record_order`` in the order of their names.
+    Files are parsed once. Those without triples have no rows. ``record_order`` numbers records by their names.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
     records = files.select(F.col("path").alias("record_id"), F.decode("content", "UTF-8").alias("body"), F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).alias("format"))
-    parsed = parse_records(records)
+    parsed = checkpoint(parse_records(records))
     return parsed.where("error is null").drop("error"), parsed.where("error is not null").select("record_id", "error")
