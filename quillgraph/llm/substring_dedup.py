@@ -4,13 +4,14 @@
    anchors, so windows are compared only with those of the same anchor hash. The windows of one anchor occurrence form a
    segment of text. Equal segments of one anchor are one class with a count, before anything is moved.
 2. Classes of an anchor with one class only are settled by their count. The others are dealt into buckets by anchor.
-3. In a bucket the text is read in symbols of 40 bytes. Shards of segments each have a Burrows-Wheeler transform: their
-   windows' tails in sorted order, each with the symbol before it. The shards' transforms are merged by refining an
-   interleave: the symbols, read in the merged order of tails of t symbols, are dealt stably into buckets, which orders
-   tails of t + 1 symbols; where symbol or old interval change, a new interval begins, so the common lengths come with the
-   interleave. After five rounds the intervals are the repeated windows. Windows alone in their interval leave early.
+3. In a bucket the text is read in symbols of 40 bytes. Each shard of segments has its own Burrows-Wheeler transform: its
+   suffixes sorted once, and the symbol before each. The transforms are merged by refining an interleave, which says whose
+   suffix stands where: the shards' symbols, read in its order, are dealt stably into buckets, which gives the interleave by
+   one symbol more. No suffix is sorted again. Where a symbol or the interval of the tail changes, an interval begins, so the
+   common prefixes come with the interleave. After five rounds, or when nothing moves, the intervals are the repeated windows.
 4. An anchor with more classes than a bucket may hold is split by ranges of its windows: all windows of a range share a
-   core of bytes, and rows whose core is alone go, level by level, down to single windows, which are counted.
+   core of bytes, and ranges whose core is alone go. The others are merged as segments of their own, by core; where a core
+   has too many ranges still, they are cut into shorter ones, down to single windows, which are counted.
 """
 
 from __future__ import annotations
@@ -121,45 +122,105 @@ def _numbered(held: list[bytes], numbers: list[int], shifts: list[int], length:
         yield np.array(numbers)[doc], first + np.array(shifts)[doc], span, offset, h, c
 
 
+def transform(symbols: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Suffixes of a shard in their order. ``after`` is where each goes on, -1 at an end, which is less than any symbol; ties by place.
+
+    Ranks by one symbol become ranks by two, four and so on.
+    """
+    rank, hop = symbols.astype(np.int64), after
+    while True:
+        key = rank * (rank.max(initial=0) + 2) + np.where(hop >= 0, rank[hop] + 1, 0)
+        order = np.argsort(key, kind="stable")
+        if not (hop >= 0).any():
+            return order
+        key = key[order]
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.cumsum(np.append(0, key[1:] != key[:-1]))
+        hop = np.where(hop >= 0, hop[hop], -1)
+
+
+def merge(shards: list[np.ndarray], ends: list[int], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The interleave of the shards' suffixes by their first ``depth`` symbols, and the interval of equal ones each is in.
+
+    A shard is its transform: the symbol before each suffix in order, 0 for none; its first rows are the ``ends`` of its texts.
+    """
+    interleave = np.repeat(np.arange(len(shards)), [len(x) for x in shards])
+    front = np.repeat(np.arange(len(shards)), ends)
+    interval, kinds = np.zeros(len(interleave), np.int64), 1
+    for _ in range(depth):
+        column = np.empty(len(interleave), np.int64)
+        for s, before in enumerate(shards):
+            column[interleave == s] = before
+        place = np.flatnonzero(column)
+        place = place[np.argsort(column[place], kind="stable")]
+        column, last = column[place], interval[place]
+        begins = np.append(True, (column[1:] != column[:-1]) | (last[1:] != last[:-1])) if len(place) else np.zeros(0, bool)
+        now = np.concatenate([front, interleave[place]])
+        interval = np.concatenate([np.zeros(len(front), np.int64), np.cumsum(begins)])
+        still = kinds == (kinds := int(begins.sum()) + bool(len(front))) and np.array_equal(now, interleave)
+        interleave = now
+        if still:
+            break
+    return interleave, interval
+
+
+def _chains(symbol_of: np.ndarray, inside: np.ndarray, left: np.ndarray, symbol: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many known symbols follow one another from each place on, and up to it; ``left`` counts the strides after it in its segment."""
+    on, upto = np.zeros(len(inside), np.int64), np.zeros(len(inside), np.int64)
+    done = inside // symbol
+    for k in range(int(max(left.max(), done.max())) + 1):
+        p = np.flatnonzero(left == k)
+        on[p] = np.where(symbol_of[p] > 0, (on[p + symbol] if k else 0) + 1, 0)
+        p = np.flatnonzero(done == k)
+        upto[p] = np.where(symbol_of[p] > 0, (upto[p - symbol] if k else 0) + 1, 0)
+    return on, upto
+
+
 def repeated_windows(raw: bytes, at: np.ndarray, span: np.ndarray, weight: np.ndarray, length: int = LENGTH, symbol: int = SYMBOL, shard: int = SHARD) -> tuple[np.ndarray, np.ndarray]:
     """(segment, window) of all windows that occur twice or more, counting a segment ``weight`` times.
 
-    Segments lie at ``at`` in ``raw``; ``length`` is a multiple of ``symbol``.
+    Segments lie at ``at`` in ``raw``; ``length`` is a multiple of ``symbol``. Only chains of ``length`` bytes of symbols that
+    occur twice or more go into the transforms.
     """
-    codes = rolling(np.frombuffer(raw, np.uint8), symbol)
-    windows = span - length + 1
-    owner = np.repeat(np.arange(len(at)), windows)
-    inside = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
-    place, times = at[owner] + inside, weight[owner]
-    # each shard's tails in their order, at first all empty; the interleave says whose tail stands where
-    cuts = np.searchsorted(owner, np.arange(0, len(at), shard))
-    tails = np.split(np.arange(len(owner)), cuts[1:])
-    interleave = np.repeat(np.arange(len(tails)), [len(t) for t in tails])
-    interval = np.zeros(len(owner), np.int64)
-    for t in range(1, length // symbol + 1):
-        back = length - symbol * t
-        column = np.empty(len(interleave), np.uint64)
-        count = np.empty(len(interleave), np.int64)
-        for s, tail in enumerate(tails):
-            before = codes[place[tail] + back]  # the shard's transform: the symbol before each tail
-            mine = interleave == s
-            column[mine], count[mine] = before, times[tail]
-            tails[s] = tail[np.argsort(before, kind="stable")]
-        order = np.argsort(column, kind="stable")
-        column, interval, interleave, count = column[order], interval[order], interleave[order], count[order]
-        begin = np.append(True, (column[1:] != column[:-1]) | (interval[1:] != interval[:-1])) if len(column) else np.zeros(0, bool)
-        starts = np.flatnonzero(begin)
-        if not len(starts):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        sizes = np.diff(np.append(starts, len(column)))
-        often = np.add.reduceat(count, starts) > 1
-        stays = np.repeat(often, sizes)
-        interval = np.repeat(np.cumsum(often), sizes)[stays]
-        for s, tail in enumerate(tails):
-            tails[s] = tail[stays[interleave == s]]
-        interleave = interleave[stays]
-    left = np.concatenate(tails) if tails else np.zeros(0, np.int64)
-    return owner[left], inside[left]
+    none = np.zeros(0, np.int64)
+    depth, n = length // symbol, span - symbol + 1
+    if not len(at):
+        return none, none
+    owner = np.repeat(np.arange(len(at)), n)
+    inside = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+    _, number = np.unique(rolling(np.frombuffer(raw, np.uint8), symbol)[at[owner] + inside], return_inverse=True)
+    number = np.where(np.bincount(number, weight[owner])[number] > 1, number + 1, 0)
+    on, upto = _chains(number, inside, (n[owner] - 1 - inside) // symbol, symbol)
+    live = np.flatnonzero((number > 0) & (on + upto > depth))
+    if not len(live):
+        return none, none
+    new = np.full(len(owner), -1)
+    new[live] = np.arange(len(live))
+    after, before = np.full(len(live), -1), np.zeros(len(live), np.int64)
+    more = np.flatnonzero(on[live] > 1)
+    after[more] = new[live[more] + symbol]
+    less = np.flatnonzero(upto[live] > 1)
+    before[less] = number[live[less] - symbol]
+    number = number[live]
+    cuts = np.searchsorted(owner[live], np.arange(0, len(at) + shard, shard))
+    shards, ends, orders = [], [], []
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        order = a + transform(number[a:b], np.where(after[a:b] >= 0, after[a:b] - a, -1))
+        last = a + np.flatnonzero(after[a:b] < 0)
+        shards.append(np.concatenate([number[last], before[order]]))
+        ends.append(len(last))
+        orders.append(np.concatenate([np.full(len(last), -1), order]))
+    interleave, interval = merge(shards, ends, depth)
+    suffix = np.empty(len(interleave), np.int64)
+    for s, order in enumerate(orders):
+        suffix[interleave == s] = order
+    whole = suffix >= 0
+    suffix, interval = live[suffix[whole]], interval[whole]
+    window = on[suffix] >= depth
+    suffix, interval = suffix[window], interval[window]
+    often = np.bincount(interval, weight[owner[suffix]]) > 1 if len(suffix) else np.zeros(0, bool)
+    suffix = suffix[often[interval]] if len(suffix) else suffix
+    return owner[suffix], inside[suffix]
 
 
 def _ranges(owner: np.ndarray, inside: np.ndarray, length: int) -> dict[int, list[int]]:
@@ -178,7 +239,7 @@ def _ranges(owner: np.ndarray, inside: np.ndarray, length: int) -> dict[int, lis
 
 
 def _split(rows: DataFrame, width: int, length: int) -> DataFrame:
-    """Rows ``h, c, n, offset, seg, low, high`` cut into ranges of ``width`` windows, less those whose core is alone.
+    """Rows ``h, c, n, offset, seg, low, high`` cut into ranges of ``width`` windows, with the ``core`` and how many ranges it has, less those whose core is alone.
 
     ``low`` and ``high`` bound the bytes that a window has before the anchor; ranges begin at multiples of ``width``, so
     equal windows are in equal ranges, and the bytes that all windows of a range share are in each of them.
@@ -198,17 +259,24 @@ def _split(rows: DataFrame, width: int, length: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*base.columns, *more], names=["h", "c", "n", "offset", "seg", "low", "high", "core"])
 
     cut = materialize(rows.mapInArrow(run, "h long, c long, n long, offset int, seg binary, low int, high int, core long"), "ranges")
-    shared = cut.groupBy("h", "core").agg(F.sum("n").alias("times")).where("times > 1").select("h", "core")
-    return cut.join(shared, ["h", "core"], "left_semi").drop("core")
+    shared = cut.groupBy("h", "core").agg(F.sum("n").alias("times"), F.count(F.lit(1)).alias("ranges")).where("times > 1").select("h", "core", "ranges")
+    return cut.join(shared, ["h", "core"])
 
 
-def _crowded(rows: DataFrame, length: int) -> DataFrame:
-    """``h, c, covered`` for classes of anchors that have too many for a bucket."""
+def _crowded(rows: DataFrame, length: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """For classes of anchors that have too many for a bucket: ranges to merge (``h, core, c, n, seg, shift``), and ``h, c, covered`` of single windows."""
     rows = rows.select("h", "c", "n", "offset", "seg", (F.col("offset") - (F.length("seg") - length)).alias("low"), F.col("offset").alias("high"))
-    for width in LEVELS:
-        rows = _split(rows, width, length)
+    ready = None
+    for width in LEVELS[:-1]:
+        cut = materialize(_split(rows, width, length), "cut-ranges")
+        shift = F.col("offset") - F.col("high")
+        own = F.expr(f"substring(seg, offset - high + 1, high - low + {length})")
+        part = cut.where(F.col("ranges") <= most).select("h", "core", "c", "n", own.alias("seg"), shift.alias("shift"))
+        ready = part if ready is None else ready.unionByName(part)
+        rows = cut.where(F.col("ranges") > most).drop("core", "ranges")
     at = F.sort_array(F.collect_list(F.col("offset") - F.col("low")))
-    return rows.groupBy("h", "c").agg(F.flatten(F.transform(at, lambda i: F.array(i, i + length))).alias("covered"))
+    single = _split(rows, LEVELS[-1], length).groupBy("h", "c").agg(F.flatten(F.transform(at, lambda i: F.array(i, i + length))).alias("covered"))
+    return ready, single
 
 
 def _pack(docs: DataFrame) -> DataFrame:
@@ -256,13 +324,13 @@ def _fetch(wanted: DataFrame, docs: DataFrame) -> DataFrame:
 
 def _merge_bucket(length: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates(["h", "c"])  # a row repeated with one id is fetched as often
+        pdf = pdf.drop_duplicates(["h", "c", "shift"])  # a row repeated with one id is fetched as often
         seg = pdf["seg"].tolist()
         span = np.fromiter(map(len, seg), np.int64, len(seg))
         owner, inside = repeated_windows(b"".join(seg), np.cumsum(span) - span, span, pdf["n"].to_numpy(np.int64), length)
         found = _ranges(owner, inside, length)
-        h, c = pdf["h"].to_numpy(), pdf["c"].to_numpy()
-        return pd.DataFrame({"h": h[list(found)], "c": c[list(found)], "covered": list(found.values())})
+        h, c, shift = pdf["h"].to_numpy(), pdf["c"].to_numpy(), pdf["shift"].tolist()
+        return pd.DataFrame({"h": h[list(found)], "c": c[list(found)], "covered": [[x + shift[k] for x in r] for k, r in found.items()]})
 
     return run
 
@@ -282,10 +350,11 @@ def covered_ranges(docs: DataFrame, length: int = LENGTH, bucket: int = BUCKET,
     fetched = materialize(_fetch(classes, docs).join(of_anchor, "h"), "segments")
     discard(classes)
     buckets = max(1, -(-fetched.count() // bucket))
-    dealt = fetched.where(F.col("classes") <= most).select("h", "c", "n", "seg", F.pmod(F.xxhash64("h"), F.lit(buckets)).alias("bucket"))
+    ready, single = _crowded(fetched.where(F.col("classes") > most).dropDuplicates(["h", "c"]), length, most)
+    whole = fetched.where(F.col("classes") <= most).select("h", F.lit(0).cast("long").alias("core"), "c", "n", "seg", F.lit(0).alias("shift"))
+    dealt = whole.unionByName(ready).withColumn("bucket", F.pmod(F.xxhash64("h", "core"), F.lit(buckets))).drop("core")
     merged = dealt.groupBy("bucket").applyInPandas(_merge_bucket(length), "h long, c long, covered array<int>")
-    crowded = _crowded(fetched.where(F.col("classes") > most).dropDuplicates(["h", "c"]), length)
-    covered = materialize(settled.unionByName(merged).unionByName(crowded), "covered")
+    covered = materialize(settled.unionByName(merged).unionByName(single), "covered")
     discard(fetched)
     found = anchors.select("h", "c", "doc_id", "t", "start").join(covered.hint("merge"), ["h", "c"])
     return found.groupBy("doc_id", "t").agg(F.collect_list(F.struct("start", "covered")).alias("ranges"))  # at most a document's own

@@ -76,6 +76,47 @@ def test_substring_bounds(spark, docs, rows, bucket, most, block, monkeypatch):
         assert (n, m, hashlib.sha256(kept).hexdigest()) == (removed, spans, sha)
 
 
+@pytest.mark.parametrize("shard", [1, 3, 50])
+def test_merged_transforms(shard):
+    """Intervals of merged transforms against all windows, with weights, and the transforms and interleave against sorting."""
+    rng = np.random.default_rng(shard)
+    parts = [bytes(rng.integers(97, 99, 40).astype(np.uint8)) for _ in range(4)]
+    seg = []
+    for _ in range(40):
+        text = b"".join(parts[i] for i in rng.integers(0, 4, rng.integers(5, 9)))
+        seg.append(text[rng.integers(0, 3) : len(text) - rng.integers(0, 3)])
+    seg = [x for x in seg if len(x) >= 200] + [seg[0]]
+    span = np.array([len(x) for x in seg])
+    weight = np.array([1 + k % 3 // 2 for k in range(len(seg))])
+    times = Counter()
+    for x, w in zip(seg, weight, strict=True):
+        for i in range(len(x) - 199):
+            times[x[i : i + 200]] += int(w)
+    owner, inside = substring_dedup.repeated_windows(b"".join(seg), np.cumsum(span) - span, span, weight, shard=shard)
+    expected = {(k, i) for k, x in enumerate(seg) for i in range(len(x) - 199) if times[x[i : i + 200]] > 1}
+    assert sorted(zip(owner.tolist(), inside.tolist(), strict=True)) == sorted(expected)
+    texts = [[int(c) for c in rng.integers(1, 4, rng.integers(1, 8))] for _ in range(12)]
+    shards, ends, sorted_ = [], [], []
+    for at in range(0, 12, 4):
+        own = texts[at : at + 4]
+        symbols = np.array([c for t in own for c in t])
+        after = np.array([k + 1 if j + 1 < len(t) else -1 for t, start in zip(own, np.cumsum([0] + [len(t) for t in own]), strict=False) for j, k in enumerate(range(start, start + len(t)))])
+        order = substring_dedup.transform(symbols, after)
+        tails = [tuple(t[j:]) for t in own for j in range(len(t))]
+        before = np.array([t[j - 1] if j else 0 for t in own for j in range(len(t))])
+        assert [tails[k] for k in order] == sorted(tails)
+        last = np.flatnonzero(after < 0)
+        shards.append(np.concatenate([symbols[last], before[order]]))
+        ends.append(len(last))
+        sorted_.append([()] * len(last) + sorted(tails))
+    for depth in (1, 2, 5, 9):
+        interleave, interval = substring_dedup.merge(shards, ends, depth)
+        taken = [iter(x) for x in sorted_]
+        rows = [next(taken[s]) for s in interleave.tolist()]
+        assert [r[:depth] for r in rows] == sorted(r[:depth] for r in rows)
+        assert [a == b for a, b in zip(interval[1:].tolist(), interval[:-1].tolist(), strict=True)] == [a[:depth] == b[:depth] for a, b in zip(rows[1:], rows[:-1], strict=True)]
+
+
 def test_substring_blocks():
     """Blocks of any size own each window once."""
     import pyarrow as pa
