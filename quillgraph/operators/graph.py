@@ -135,7 +135,7 @@ def strip_excluded(triples: DataFrame, rules: Sequence[tuple[str, str]] = EXCLUD
 
 
 #: Visits that following all paths from the nodes of one record on or above a cycle may take.
-MOST_VISITS = 200_000
+MOST_VISITS = 2_000_000
 
 
 def _digest(parts: list[str]) -> str:

@@ -39,8 +39,8 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder that goes when the driver ends, or when what collects paths is done."""
     path = f"{shared_dir(spark)}/quillgraph-{name}-{uuid.uuid4().hex}"
     atexit.register(remove, spark, path)
-    if _COLLECTING:
-        _COLLECTING[-1].append(path)
+    for paths in _COLLECTING:
+        paths.append(path)
     return path
 
 
