@@ -20,7 +20,7 @@ from .plans import direct
 from .plans.session import checkpoint, scratch_path
 from .schema import LINEAGE, TRIPLE, migrate
 from .sources import files
-from .vocab import ADMIN, ADMIN_TYPE, BF, DCTERMS, DERIVED_FROM, HAS_INSTANCE, HUB, INSTANCE, INSTANCE_OF, LABELS, LCLOCAL, MADS, NAMESPACE, RDF, RELATION_PREDICATES, STATUS, STATUS_OF, STUB_STATUS, TYPE, WORK
+from .vocab import ADMIN, ADMIN_TYPE, BF, CONTEXT, DCTERMS, DERIVED_FROM, HAS_INSTANCE, HUB, INSTANCE, INSTANCE_OF, LABELS, LCLOCAL, MADS, NAMESPACE, RDF, RELATION_PREDICATES, STATUS, STATUS_OF, STUB_STATUS, TYPE, WORK
 
 Query = Callable[[SparkSession, str], DataFrame]
 STAMP = "2024-05-06T07:08:09"
@@ -453,7 +453,33 @@ def to_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return to_document(_cbd(spark, sf_dir)[0])
 
 
-@query()
+def _short(x: str) -> str:
+    """An IRI as the default context has it."""
+    names = "".join(f" WHEN starts_with({x}, '{to}') AND {x} <> '{to}' THEN '{name}' || substr({x}, {len(to) + 1})" for name, to in [("", BF), *((f"{k}:", v) for k, v in CONTEXT.items() if isinstance(v, str) and not k.startswith("@"))])
+    return f"CASE{names} ELSE {x} END"
+
+
+_IDS = ", ".join(f"'{BF}{k}'" for k, v in CONTEXT.items() if isinstance(v, dict))
+# Nodes as objects, from those that name no blank node up; keys and values in order.
+_OBJECT = """SELECT record_id, class, entity, s, '{' || max(head) || string_agg(to_json(name) || ': ' || CASE WHEN n = 1 THEN vs ELSE '[' || vs || ']' END, ', ' ORDER BY name) || '}' AS text
+      FROM (SELECT record_id, class, entity, s, max(head) AS head, name, count(*) AS n, string_agg(v, ', ' ORDER BY o, o_dt, o_lang) AS vs FROM ready GROUP BY record_id, class, entity, s, name) GROUP BY record_id, class, entity, s"""
+_FRAMES = f"""turned AS (SELECT DISTINCT record_id, class, entity, o AS s, s AS o, '{INSTANCE_OF}' AS p FROM cbd WHERE p = '{HAS_INSTANCE}' AND o_kind = 'b' AND s_kind = 'b'),
+    plain AS MATERIALIZED (SELECT record_id, class, entity, s, o, coalesce(o_dt, '') AS o_dt, coalesce(o_lang, '') AS o_lang, CASE WHEN back THEN 'u' ELSE o_kind END AS o_kind, CASE WHEN s_kind = 'u' THEN '"@id": ' || to_json(s) || ', ' ELSE '' END AS head,
+      CASE WHEN p = '{TYPE}' THEN '@type' ELSE {_short('p')} END AS name,
+      CASE WHEN back THEN to_json('_:' || o) WHEN o_kind = 'b' THEN NULL WHEN p = '{TYPE}' THEN to_json({_short('o')}) WHEN o_kind = 'u' AND p IN ({_IDS}) THEN to_json(o) WHEN o_kind = 'u' THEN '{{"@id": ' || to_json(o) || '}}'
+        WHEN o_lang IS NOT NULL THEN '{{"@language": ' || to_json(o_lang) || ', "@value": ' || to_json(o) || '}}' WHEN o_dt IS NOT NULL THEN '{{"@type": ' || to_json({_short('o_dt')}) || ', "@value": ' || to_json(o) || '}}' ELSE to_json(o) END AS v FROM (SELECT c.*, t.o IS NOT NULL AS back FROM cbd c LEFT JOIN turned t USING (record_id, class, entity, s, p, o))),
+    object0 AS MATERIALIZED (WITH ready AS (SELECT * FROM plain t WHERE NOT EXISTS (SELECT 1 FROM plain b WHERE b.record_id = t.record_id AND b.class = t.class AND b.entity = t.entity AND b.s = t.s AND b.o_kind = 'b')) {_OBJECT}),
+    """ + "".join(
+    f"""object{k} AS MATERIALIZED (WITH ready AS (SELECT t.record_id, t.class, t.entity, t.s, t.o, t.o_dt, t.o_lang, t.head, t.name, CASE WHEN t.o_kind = 'b' THEN d.text ELSE t.v END AS v FROM plain t
+        LEFT JOIN object{k - 1} d ON d.record_id = t.record_id AND d.class = t.class AND d.entity = t.entity AND d.s = t.o AND t.o_kind = 'b'
+        WHERE NOT EXISTS (SELECT 1 FROM object{k - 1} x WHERE x.record_id = t.record_id AND x.class = t.class AND x.entity = t.entity AND x.s = t.s)
+          AND NOT EXISTS (SELECT 1 FROM plain b LEFT JOIN object{k - 1} y ON y.record_id = b.record_id AND y.class = b.class AND y.entity = b.entity AND y.s = b.o WHERE b.record_id = t.record_id AND b.class = t.class AND b.entity = t.entity AND b.s = t.s AND b.o_kind = 'b' AND y.text IS NULL))
+      {_OBJECT} UNION ALL SELECT * FROM object{k - 1}), """
+    for k in (1, 2, 3)
+)
+
+
+@query(_end(_ALL + _FRAMES, "SELECT record_id, class, entity, text AS data FROM object3 WHERE s = entity"))
 def frame_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return framed(_cbd(spark, sf_dir)[0])
 
