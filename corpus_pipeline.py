@@ -7,6 +7,7 @@ stage's documents. All but the last return the columns of their input.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,14 +24,31 @@ from quillgraph.llm.queries import vocabulary
 LEAST_SCORE = 0.5
 
 
+#: Columns of documents that stages read.
+READ = ("doc_id", "text", "lang", "source", "n_chars")
+
+
 def _columns(docs: DataFrame) -> list:
     return [F.col(f"`{c}`") for c in docs.columns]
 
 
+def _whatever_columns(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A stage that returns its input's columns, for input with columns of any other names: these are called by number inside."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        plain = docs.select(*[F.col(f"`{c}`").alias(c if c in READ else f"x{k}") for k, c in enumerate(docs.columns)])
+        return stage(spark, plain, sf_dir).toDF(*docs.columns)
+
+    return run
+
+
+@_whatever_columns
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that can be told; texts that are null or without a letter go.
+    """Documents in a language that can be told; texts that are null, empty or without a letter go.
 
-    If there is no row to learn a language from, all texts with a letter stay.
+    If there is no row to learn a language from, all texts with a letter stay. Texts of any length are scored whole. Rows
+    repeated, or with a null id, language or source, are judged by their text like any other. An empty table stays empty.
     """
     if _lang_id.learnable(docs).isEmpty():
         return docs.where(F.col("text").rlike(r"\p{L}"))
@@ -38,10 +56,13 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return said.where((F.col("__lang") != "und") & (F.col("__score") >= LEAST_SCORE)).select(*_columns(docs))
 
 
+@_whatever_columns
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines repeated from earlier ones; those of which nothing but white space is left go.
 
-    Rows that share an id but not a text are documents of their own. ``n_chars``, where there is such a column, follows the text.
+    Rows that share an id but not a text are documents of their own. Rows repeated with one id and text stay, each without the
+    same lines. Those with a null id lose nothing, and a null or empty text has no lines to lose and stays. Texts of any
+    length are read whole. ``n_chars``, where there is such a column, follows the text. An empty table stays empty.
     """
     key = [F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")]
     decided = _line_dedup.line_dedup(docs, by_text=True).where("n_removed > 0").select(*key, F.col("text").alias("__text")).dropDuplicates(["__id", "__digest"])
@@ -71,11 +92,13 @@ def _named(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return named.union(dealt), dealt.select("__id", own.alias("own"))
 
 
+@_whatever_columns
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id; rows repeated with one id and text become one.
 
     Near copies are within two bits of fingerprint or share five-word shingles to a similarity of 0.8. Rows that share an id
-    but not a text are documents of their own. Those without an id come last.
+    but not a text are documents of their own. Those without an id come last. Texts without words, null ones included, are
+    copies of each other. Texts of any length are compared whole. An empty table stays empty.
     """
     named, dealt = _named(docs)
     grouped = _simhash.near_dedup(named, "__id").select(F.col("doc_id").alias("__id"), "component_id")
@@ -88,13 +111,22 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return named.join(stays, "__id", "left_semi").dropDuplicates(["__id"]).select(*_columns(docs))
 
 
+@_whatever_columns
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their source's weight asks; every one at least once."""
+    """Documents as often as their source's weight asks; every one at least once.
+
+    A null source is a source of its own. Null and empty texts have no tokens and go with their block, rows repeated with one
+    id go together, and so do those with a null id. Texts are never cut. An empty table stays empty.
+    """
     return _mixing.mix(docs).select(*_columns(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The packed sequences, one row a piece."""
+    """The packed sequences, one row a piece.
+
+    A null or empty text is the end id alone; longer texts than a sequence are cut into pieces; repeated rows and rows with a
+    null id are packed each. Other columns aren't read. An empty table gives no rows.
+    """
     return _packing.pack(docs, vocabulary("word_bpe_49k.json"))
 
 

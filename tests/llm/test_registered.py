@@ -154,18 +154,20 @@ def test_pipeline(spark, tmp_path):
 
 def test_pipeline_edges(spark, tmp_path):
     """Nulls, repeats, columns of clashing names and an empty table."""
-    schema = "doc_id long, text string, lang string, source string, n_chars long, `__x.y` string, fp string, digest long, piece int"
+    schema = "doc_id long, text string, lang string, source string, n_chars long, `__x.y` string, fp string, digest long, piece int, __id long, __lang string, __score string, __text string, __digest string, __tokens long, x5 int, body string"
     text = "some words that go on for a while " * 4
-    rows = [(1, text, "en", None, 1, "a", "b", 3, 4), (1, text, "en", None, 1, "a", "b", 3, 4), (None, text + "x", "en", "s", None, None, None, None, None), (None, None, None, None, None, None, None, None, None), (5, "other text\n" * 9, None, "s", 2, "a", "b", 3, 4)]
+    rows = [(1, text, "en", None, 1, "a", "b", 3, 4), (1, text, "en", None, 1, "a", "b", 3, 4), (None, text + "x", "en", "s", None, None, None, None, None), (None, None, None, None, None, None, None, None, None), (5, "other text\n" * 9, None, "s", 2, "a", "b", 3, 4), (6, "long words " * 60_000, "en", "s", 2, "a", "b", 3, 4)]
+    rows = [(*r, 7, "l", "s", "t", "d", 8, 9, "y") for r in rows]
     for k, part in enumerate((rows, [])):
         docs = spark.createDataFrame(part, schema)
         for name, stage in corpus_pipeline.STAGES:
             out = stage(spark, docs, "")
             if name != "pack":
-                assert out.columns == docs.columns
+                assert out.columns == docs.columns and [f.dataType for f in out.schema] == [f.dataType for f in docs.schema]
                 out.write.parquet(str(tmp_path / f"{k}{name}"))
                 docs = spark.read.parquet(str(tmp_path / f"{k}{name}"))
         assert (out.count() > 0) == bool(part)
+        assert {tuple(r)[9:] for r in docs.collect()} == ({(7, "l", "s", "t", "d", 8, 9, "y")} if part else set())
 
 
 def test_pipeline_null_ids(spark, tmp_path, monkeypatch):
