@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import materialize, text_or_empty
 
 WINDOW = 3
 
@@ -44,12 +44,13 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Returns ``doc_id, n_lines, n_removed, text``, one row for each input row; the lines that stay are joined by ``\\n``. A null
     text counts as empty: one empty line. Texts of fewer lines than a window lose nothing. If all lines go, the text is
-    empty. Rows repeated with one id are occurrences at one place, so they count as one and get the same result; rows
+    empty. Texts of any length are read whole. Rows repeated with one id are occurrences at one place, so they count as one and get the same result; rows
     with a null id lose nothing and are never first. With ``by_text`` rows of one id and different texts are documents of
     their own, in the order of a ``digest`` of the text, which is returned after ``doc_id``. Other columns are not read. An empty table gives an empty result.
     """
     key = ["doc_id", "digest"] if by_text else ["doc_id"]
-    found = line_windows(docs.where(F.col(id_col).isNotNull()), id_col, text_col, window, by_text)
+    # lines are split and hashed once; the windows are narrow
+    found = materialize(line_windows(docs.where(F.col(id_col).isNotNull()), id_col, text_col, window, by_text), "line-windows")
     repeated = found.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*key, "pos")).alias("first")).where("n > 1").select("h1", "h2", "first")
     later = found.join(repeated, ["h1", "h2"]).where(F.struct(*key, "pos") > F.col("first"))
     # the places of a document's own later windows: bounded by its own lines
