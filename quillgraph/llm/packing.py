@@ -1,6 +1,7 @@
 """Packing documents into sequences of a fixed length by best-two-fit.
 
-Token counts of pieces are dealt evenly into shards of bounded size; each is packed on its own. A bin is filled greedily
+Token counts of pieces are dealt evenly into shards of bounded size; each is packed on its own, and what shards leave in bins
+that aren't nearly full is packed again together. A bin is filled greedily
 with the longest piece that fits; then its smallest piece is replaced by the two unpacked pieces that fill the gap, with
 the smallest piece's room, best.
 """
@@ -199,20 +200,37 @@ def best_two_fit(lengths: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray
     return bins, offsets
 
 
+#: A sequence filled to less than this share is packed again with those of other shards.
+NEARLY = 0.95
+_PIECE = ("doc_id", "piece", "start", "length", "ids_crc32")
+
+
+def _packed(cut: DataFrame, n: int, length: int, shard: int, turn: int) -> DataFrame:
+    """``n`` pieces in shards, each packed on its own: with ``sequence_id, offset`` and whether the sequence is ``left_open``."""
+    shards = max(1, -(-n // shard))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        lengths = pdf["length"].to_numpy()
+        bins, offsets = best_two_fit(lengths, length)
+        fill = np.bincount(bins, lengths)
+        ids = bins + (int(pdf["shard"].iloc[0]) << 32) + (turn << 62)
+        return pdf.drop(columns=["shard"]).assign(sequence_id=ids, offset=offsets, left_open=fill[bins] < NEARLY * length)
+
+    dealt = cut.select(*_PIECE, "deal", F.pmod(F.xxhash64("deal", F.lit(turn)), F.lit(shards)).cast(IntegerType()).alias("shard"))
+    return dealt.groupBy("shard").applyInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long, deal long, sequence_id long, offset long, left_open boolean")
+
+
 def pack(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, shard: int = SHARD) -> DataFrame:
     """Sequences of at most ``length`` tokens that hold every document.
 
     Returns ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``, one row a piece. A null or empty text is the end
     id alone. Documents of at most ``length`` ids are never cut; longer ones are cut into full pieces and a rest. Rows
-    repeated with one id, or with a null id, are packed each. Pieces of equal length are packed in any order. Other
+    repeated with one id, or with a null id, are packed each. Texts of any length are encoded whole. Pieces of equal length are packed in any order. Other
     columns are not read. An empty table gives an empty result.
     """
     cut = materialize(pieces(docs, vocabulary_path, id_col, text_col, length), "pieces")
-    shards = max(1, -(-cut.count() // shard))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        bins, offsets = best_two_fit(pdf["length"].to_numpy(), length)
-        return pdf.drop(columns=["shard"]).assign(sequence_id=bins + (int(pdf["shard"].iloc[0]) << 32), offset=offsets)
-
-    dealt = cut.select("doc_id", "piece", "start", "length", "ids_crc32", F.pmod(F.xxhash64("deal"), F.lit(shards)).cast(IntegerType()).alias("shard"))
-    return dealt.groupBy("shard").applyInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    first = materialize(_packed(cut, cut.count(), length, shard, 0), "packed")
+    # what the shards have left in sequences that aren't nearly full is packed together
+    left = first.where("left_open").select(*_PIECE, "deal")
+    again = _packed(left, left.count(), length, shard, 1)
+    return first.where("not left_open").unionByName(again).drop("deal", "left_open")

@@ -289,6 +289,24 @@ def test_packing(docs, rows):
         assert at <= 4096
 
 
+def test_packing_shards_meet(spark):
+    """What many small shards leave open is packed together, nothing is lost, and offsets have no gaps."""
+    rng = random.Random(2)
+    rows = [(k, words(rng, rng.randint(1, 40))) for k in range(300)]
+    out = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), vocabulary("word_bpe_49k.json"), length=256, shard=20).collect()
+    assert sorted((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in out) == sorted(brute.cut(rows, 256))
+    held = defaultdict(list)
+    for r in out:
+        held[r["sequence_id"]].append((r["offset"], r["length"]))
+    for own in held.values():
+        ends = [0]
+        for offset, n in sorted(own):
+            assert offset == ends[-1]
+            ends.append(offset + n)
+        assert ends[-1] <= 256
+    assert len(held) <= 1.06 * sum(r["length"] for r in out) / 256 + 1
+
+
 def test_best_two_fit():
     bins, offsets = packing.best_two_fit(np.array([6, 3, 3, 2, 2]), 10)  # 6 + 3 leaves 1; 6 + 2 + 2 is full
     assert bins[0] == bins[3] == bins[4] and bins[1] == bins[2] and len(set(bins)) == 2
