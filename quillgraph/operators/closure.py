@@ -22,14 +22,16 @@ def reach(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """All ``record_id, root, node`` reached from seeds of that form, seeds included; columns that seeds have besides go along.
 
     Every hop joins only the nodes new since the last one, keyed by record and node, and leaves out what has been seen, so
-    cycles end and shared nodes are taken once. Chains are as deep as lists are long, so plans are cut now and then.
+    cycles end and shared nodes are taken once. No edge leaves its record, so only edges of the seeds' records are kept.
+    Chains are as deep as lists are long, so plans are cut now and then.
     """
     keys = seeds.columns
     also = [c for c in keys if c not in ("record_id", "node")]
     seen = checkpoint(seeds.distinct())
     if seen.isEmpty():
         return seen
-    edges = checkpoint(edges.select("record_id", F.col("s").alias("node"), "o"))  # narrow; read once a hop
+    own = edges.join(seen.select("record_id").distinct(), "record_id", "left_semi")
+    edges = checkpoint(own.select("record_id", F.col("s").alias("node"), "o"))  # narrow; read once a hop
     front, hops = seen, 0
     while True:
         step = front.join(edges, ["record_id", "node"]).select("record_id", *also, F.col("o").alias("node")).distinct()
@@ -41,18 +43,17 @@ def reach(edges: DataFrame, seeds: DataFrame) -> DataFrame:
             seen = checkpoint(seen)
 
 
-def description(triples: DataFrame, roots: DataFrame) -> DataFrame:
+def description(triples: DataFrame, roots: DataFrame, links: DataFrame | None = None) -> DataFrame:
     """The concise bounded description of each root: its own triples and, over blank nodes, those they lead to.
 
     ``roots`` has ``record_id, class, entity``; the result adds the triples' columns. Triples with a term of the local
     or terms namespace as predicate or object are left out, and blank nodes are not followed through them. The triples
-    themselves are moved once, to the nodes of the descriptions.
+    themselves are moved once, to the nodes of the descriptions. ``links`` are triples with all those to blank nodes among
+    them, where these are at hand.
     """
     kept = triples.where(carried())
-    edges = blank_edges(kept)
-    starts = roots.select("record_id", "class", "entity").distinct()
-    seeds = starts.join(edges.withColumnRenamed("s", "entity"), ["record_id", "entity"]).select("record_id", "class", "entity", F.col("o").alias("node"))
-    members = starts.withColumn("node", F.col("entity")).unionByName(reach(edges, seeds)).distinct()
+    edges = blank_edges((triples if links is None else links).where(carried()))
+    members = reach(edges, roots.select("record_id", "class", "entity", F.col("entity").alias("node")))
     owned = members.join(kept.withColumnRenamed("s", "node"), ["record_id", "node"])
     return owned.select("record_id", "entity", "class", F.col("node").alias("s"), "s_kind", "p", "o", "o_kind", "o_dt", "o_lang")
 

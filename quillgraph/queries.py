@@ -92,7 +92,7 @@ def _entities(core: DataFrame, mentions: DataFrame) -> DataFrame:
 def _described(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The descriptions of all entities, not yet computed, and the graph."""
     inferred, core, mentions = _graph(spark, sf_dir)
-    return description(inferred, checkpoint(_entities(core, mentions))), inferred
+    return description(inferred, _entities(core, mentions), core), inferred
 
 
 def _cbd(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
