@@ -12,6 +12,7 @@ from ..functions.terms import numbered, uuid_of
 from ..operators.closure import description
 from ..operators.documents import framed
 from ..operators.graph import bibframe_classes
+from ..operators.search import postings
 from ..schema import SUBTYPES, TRIPLE
 from ..sources.files import parse_records
 from ..vocab import STUB_STATUS
@@ -66,6 +67,13 @@ def write_documents(store: Store, documents: DataFrame, user: str | None = None,
     return store.commit(tables | more, batch_id, touched | where, state)
 
 
+def reindex(store: Store) -> bool:
+    """The index of all stored resources made anew, as a change of its sections asks for."""
+    state = store.state()
+    made = postings(store.table("resource_base", state=state).select("id", "uri", "data"))
+    return store.commit({"postings": made.withColumn("pos", F.col("pos").cast("int"))}, state=state)
+
+
 def mint_profiles(profiles: DataFrame, base: str) -> DataFrame:
     """``profiles`` (with ``id``) with a ``uuid`` that is a function of the id and a ``uri`` under ``base``, where they have none."""
     made = F.coalesce("uuid", uuid_of(F.concat(F.lit("profile\n"), F.col("id").cast("string"))))

@@ -29,8 +29,8 @@ DESCRIPTION_AUTHENTICATION = "http://id.loc.gov/vocabulary/marcauthen/pcc"
 DESCRIPTION_LANGUAGE = "http://id.loc.gov/vocabulary/languages/eng"
 DESCRIPTION_LEVEL = "http://id.loc.gov/ontologies/bibframe-2-6-0/"
 STUB_LABEL, STUB_CODE, UNKNOWN_USER = "incomplete", "incmp", "Unknown"
-NAMESPACE = "https://data.example.org/"
 
+# Names that this engine calls terms by.
 TYPE, FIRST, REST, NIL, VALUE = RDF + "type", RDF + "first", RDF + "rest", RDF + "nil", RDF + "value"
 LABEL = RDFS + "label"
 WORK, INSTANCE, HUB = BF + "Work", BF + "Instance", BF + "Hub"
@@ -38,6 +38,8 @@ ADMIN, ADMIN_TYPE, DERIVED_FROM, STATUS_OF = BF + "adminMetadata", BF + "AdminMe
 HAS_INSTANCE, INSTANCE_OF = BF + "hasInstance", BF + "instanceOf"
 OTHER = "OtherResource"
 
+# Choices of this engine.
+NAMESPACE = "https://data.example.org/"
 #: Extension points; each may be given to the operator that uses it.
 EXCLUDED = [(BF + "identifiedBy", BF + "OclcNumber")]
 RELATION_PREDICATES = [BF + "associatedResource", BFLC + "associatedResource"]

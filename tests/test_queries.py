@@ -45,6 +45,6 @@ def test_triplify_reads_only_what_it_needs(spark):
     assert "l_extendedprice" not in plan.split("== Physical Plan ==")[1] and plan.split("== Physical Plan ==")[1].count("FileScan") == 2
 
 
-@pytest.mark.parametrize("name", ["search_english", "frame_documents", "save_pipeline"])
+@pytest.mark.parametrize("name", ["throughput"])
 def test_rows(spark, name):
     assert QUERIES[name](spark, DIR).count() > 0

@@ -85,9 +85,9 @@ def test_frame_round_trip():
 
 
 XML = """<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:bf="http://id.loc.gov/ontologies/bibframe/" xmlns:rdfs="http://www.w3.org/2000/01/rdf-schema#" xml:lang="en">
-<bf:Work rdf:about="http://ex.org/w"><bf:title><bf:Title><bf:mainTitle>AI &amp; society</bf:mainTitle></bf:Title></bf:title><bf:note rdf:parseType="Resource"><rdfs:label xml:lang="">n</rdfs:label></bf:note>
+<bf:Work rdf:about="http://ex.org/w"><bf:title><bf:Title><bf:mainTitle>Rain &amp; rivers</bf:mainTitle></bf:Title></bf:title><bf:note rdf:parseType="Resource"><rdfs:label xml:lang="">n</rdfs:label></bf:note>
 <bf:date rdf:datatype="http://www.w3.org/2001/XMLSchema#date">2020</bf:date><bf:of rdf:resource="http://ex.org/x"/><bf:seq rdf:parseType="Collection"><rdf:Description rdf:about="http://ex.org/y"/></bf:seq></bf:Work>
-<rdf:Description rdf:about="http://ex.org/w"><bf:title><bf:Title><bf:mainTitle>AI &amp; society</bf:mainTitle></bf:Title></bf:title><bf:agent rdfs:label="l"/></rdf:Description></rdf:RDF>"""
+<rdf:Description rdf:about="http://ex.org/w"><bf:title><bf:Title><bf:mainTitle>Rain &amp; rivers</bf:mainTitle></bf:Title></bf:title><bf:agent rdfs:label="l"/></rdf:Description></rdf:RDF>"""
 
 
 def test_rdfxml():

@@ -13,7 +13,7 @@ from quillgraph import Store, save_graph
 from quillgraph.operators.graph import fingerprints, subjects
 from quillgraph.operators.search import best, match, parse_query, plain_query
 from quillgraph.plans import session
-from quillgraph.plans.direct import mint_profiles, unmint_profiles, views, write_documents
+from quillgraph.plans.direct import mint_profiles, reindex, unmint_profiles, views, write_documents
 from quillgraph.plans.save import LinkError
 from quillgraph.plans.store import ConflictError
 from quillgraph.schema import LINEAGE, TABLES, migrate
@@ -36,6 +36,7 @@ def rows(spark, *more):
 def test_pointer_survives_a_crash(spark, tmp_path, monkeypatch):
     """Between writing and publishing nothing is lost, and a second writer from the same state fails."""
     store = Store(spark, str(tmp_path), buckets=4)
+    assert store.bootstrap() and not store.bootstrap() and Store(spark, str(tmp_path)).buckets == 4 and store.table("versions").isEmpty()
     store.commit({"resource_bibframe_classes": rows(spark, (1, 1, 1), (2, 1, 2))})
     state = store.state()
     monkeypatch.setattr(store, "_publish", lambda state: (_ for _ in ()).throw(OSError("crash")))
@@ -138,6 +139,8 @@ def test_direct_documents(spark, tmp_path):
     write_documents(store, spark.createDataFrame(again, schema), stamp=STAMP)
     assert store.table("versions").count() == 4 and store.resources("profiles").count() == 1
     assert {r["resource_id"] for r in match(store.table("postings"), parse_query("u:A", "simple")).collect()} == {stored["http://ex.org/w"]["id"]}
+    before = sorted(tuple(r) for r in store.table("postings").collect())
+    assert before and reindex(store) and sorted(tuple(r) for r in store.table("postings").collect()) == before
     for wrong in ([(None, "works", "{}")], [("u", "cats", "{}")], [("u", "works", "{")], [("u", "works", "3")], [("u", "works", "{}"), ("u", "works", "{}")], [("http://ex.org/w", "profiles", "{}")]):
         with pytest.raises(ValueError):
             write_documents(store, spark.createDataFrame(wrong, schema))
