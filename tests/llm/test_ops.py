@@ -497,6 +497,28 @@ def test_exact(docs, rows, snapshot):
     assert got(out, "doc_id", "keep_id", "group_size", "kept", "text_sha256") == expected
 
 
+def test_exact_compares_texts(spark):
+    """Two compressed forms of one text are one text; two texts under one digest end the job."""
+    import zstandard
+
+    text = b"some text " * 200
+    one, two = (zstandard.ZstdCompressor(level=1, write_checksum=c).compress(text) for c in (False, True))
+    assert one != two
+    same = spark.createDataFrame([([bytearray(one), bytearray(two)],), ([bytearray(one)],)], "forms array<binary>")
+    assert {bytes(r[0]) for r in same.select(exact_dedup._same(F.col("forms"))).collect()} == {one}
+    other = zstandard.ZstdCompressor().compress(text + b"x")
+    with pytest.raises(Exception, match="one SHA-256 digest"):
+        spark.createDataFrame([([bytearray(one), bytearray(other)],)], "forms array<binary>").select(exact_dedup._same(F.col("forms"))).collect()
+
+
+@pytest.mark.parametrize("text", [None, "", "x", "y" * 300_000])
+def test_exact_without_a_snapshot(spark, text):
+    """An empty snapshot, and texts of any length."""
+    rows = [(1, text), (2, text), (3, "other")]
+    out = exact_dedup.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string"), F.lit(False), bucket_keys=1)
+    assert got(out, "doc_id", "keep_id", "group_size", "kept") == [(1, 2, 2, False), (2, 2, 2, True), (3, 3, 1, True)]
+
+
 def test_fuse_filter():
     rng = np.random.default_rng(2)
     for n in (0, 1, 2, 10, 1000, 60_000):
