@@ -15,7 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHE, CHUNK = 150_000, 1 << 20
+#: Words whose counts a worker keeps, and the length up to which they are kept; characters read at once.
+CACHE, LONGEST_KEPT, CHUNK = 150_000, 64, 1 << 20
 MARK = "▁"
 
 
@@ -108,8 +109,12 @@ class Counter:
                 if len(self.known) > self.cache:
                     self.known.clear()
                 count = self.automaton.count
-                self.known.update((w, count(w)) for w in set(words) if w not in self.known)
+                new = {w: count(w) for w in set(words) if w not in self.known}
+                self.known.update(new)
                 n = list(map(self.known.__getitem__, words))
+                for w in new:
+                    if len(w) > LONGEST_KEPT:
+                        del self.known[w]
             unknown = n.count(-1)
             n_words, n_tokens, n_unknown = n_words + len(n), n_tokens + sum(n) + 2 * unknown, n_unknown + unknown
         return n_words, n_tokens, n_unknown
@@ -127,8 +132,9 @@ def token_counts(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
     Words stand between white space; each is matched with the mark of a word's start before it. A word that greedy
     longest-match can't cover counts as one unknown token.
 
-    Returns ``doc_id, n_words, n_tokens, n_unknown``, one row for each input row. Null and empty texts have zeros. Rows
-    repeated or with a null id stay. Other columns are not read. An empty table gives an empty result.
+    Returns ``doc_id, n_words, n_tokens, n_unknown``, one row for each input row. Null and empty texts have zeros. Texts and
+    words of any length are read whole, texts in parts that end between words. A longest match has no ties. Rows repeated
+    or with a null id stay. Other columns are not read. An empty table gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

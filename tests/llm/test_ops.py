@@ -164,6 +164,14 @@ def test_token_counts(docs, rows):
             assert (n_words, n_tokens, n_unknown) == (len(own), sum(abs(known[w]) for w in own), sum(known[w] < 0 for w in own))
 
 
+def test_token_counts_long_words():
+    """Long words are counted again each time and not kept."""
+    counter = token_counts.Counter(token_counts.load(vocabulary("piece_bpe_32k.model")))
+    once = counter.text("the " + "ab" * 5000 + " end")
+    assert counter.text(("the " + "ab" * 5000 + " end ") * 3) == tuple(3 * x for x in once) and once[0] == 3
+    assert max(map(len, counter.known)) <= token_counts.LONGEST_KEPT
+
+
 def test_automaton_small():
     pieces = ["▁", "▁a", "▁abc", "b", "c", "cd", "bcdx", "d"]
     a, rng = token_counts.Automaton(pieces), random.Random(2)
