@@ -20,6 +20,9 @@ from . import closure, graph
 #: Triples of a record that are gathered in one row.
 MOST = 200_000
 
+#: Buckets of records whose rows are counted together before any triple is.
+BUCKETS = 1 << 18
+
 _NAMED = sorted({TYPE, BF + "relation", *RELATION_PREDICATES, *(p for pair in INVERSES for p in pair), *(p for p, _ in TYPE_RULES)})
 _LOCAL = (LCLOCAL, DCTERMS)
 _CODE = {p: k for k, p in enumerate(_NAMED)}
@@ -157,9 +160,20 @@ def _read(triples: DataFrame, what: str, parts: int | None = None) -> DataFrame:
     return _dealt(found, parts).select("record_id", F.explode("x").alias("x"))
 
 
-def large(triples: DataFrame, most: int | None = None) -> DataFrame | None:
-    """``record_id`` of the records that aren't gathered; None where there are none."""
-    found = closure.checkpoint(triples.groupBy("record_id").count().where(F.col("count") > (MOST if most is None else most)).select("record_id"))
+def large(triples: DataFrame, most: int | None = None, bounds: DataFrame | None = None) -> DataFrame | None:
+    """``record_id`` of the records that aren't gathered; None where there are none.
+
+    ``bounds`` has ``record_id, n``, a row for each row that triples come from, which gives ``n`` of them at most. Summed by
+    buckets of records these show, mostly, that no record can be large. Triples of fuller buckets only are then counted.
+    """
+    most = MOST if most is None else most
+    if bounds is not None:
+        bucket = F.pmod(F.xxhash64("record_id"), F.lit(BUCKETS)).alias("bucket")
+        full = closure.checkpoint(bounds.groupBy(bucket).agg(F.sum("n").alias("n")).where(F.col("n") > most).select("bucket"))
+        if full.isEmpty():
+            return None
+        triples = triples.select("record_id", bucket).join(F.broadcast(full), "bucket", "left_semi")
+    found = closure.checkpoint(triples.groupBy("record_id").count().where(F.col("count") > most).select("record_id"))
     return None if found.isEmpty() else found
 
 
@@ -167,12 +181,13 @@ class Settled:
     """What follows in the records of ``triples``, a set: see ``graph`` for what each is.
 
     Where the triples lie by record in a number of partitions, ``parts`` says so: what is joined to them is dealt alike.
+    ``bounds`` are those of ``large``.
     """
 
-    def __init__(self, triples: DataFrame, parts: int | None = None) -> None:
+    def __init__(self, triples: DataFrame, parts: int | None = None, bounds: DataFrame | None = None) -> None:
         self.parts = parts
         self.triples = triples.select(*TRIPLE)
-        self.big = big = large(self.triples)
+        self.big = big = large(self.triples, bounds=bounds)
         self.small = self.triples if big is None else self.triples.join(F.broadcast(big), "record_id", "left_anti")
         self.joined = None
         if big is not None:

@@ -6,6 +6,8 @@ expressions that Spark and other engines read alike. Spark scans each table once
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -106,8 +108,9 @@ def triples_sql() -> str:
     return f"WITH {sources} SELECT DISTINCT * FROM (" + " UNION ALL ".join(rows) + ")"
 
 
-#: Bytes of a table's files that make one partition of records, which is some two million triples.
-PART_BYTES = 4 << 20
+#: Bytes of a table's files that make one partition of records, which is some half a million triples: a task sorts those that
+#: it gathers by record, and has to do so in its share of an executor's memory.
+PART_BYTES = 1 << 20
 
 #: What Spark moves of each source: the record and the numbers that the specification's columns follow from.
 MOVED = {
@@ -122,6 +125,15 @@ def partitions(spark: SparkSession, sf_dir: str) -> int:
     return max(-(-size // PART_BYTES), int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``record_id, n``: for every row of the tables how many triples it can give, read from the columns of the records alone."""
+    given, out = Counter(t for t, *_ in SPEC), None
+    for t, (base, moved, *_) in MOVED.items():
+        one = spark.sql(moved, src=spark.read.parquet(f"{sf_dir}/{base}.parquet")).select("record_id", F.lit(given[t]).cast("long").alias("n"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All triples: every table is scanned once, and only its columns used here.
 

@@ -7,6 +7,9 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
+from quillgraph import triplify
 from quillgraph.operators import closure, graph, records
 from quillgraph.queries import QUERIES
 from quillgraph.schema import TRIPLES
@@ -73,3 +76,48 @@ def test_moves_nothing_but_rows(spark, name):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert "Exchange hashpartitioning" in plan
     assert all("REPARTITION_BY_NUM" in line for line in plan.splitlines() if "Exchange hashpartitioning" in line)
+
+
+@pytest.mark.parametrize("buckets", [1, 3, 1 << 18])
+@pytest.mark.parametrize("most", [0, 71, 10_000])
+def test_large_by_bounds(given, monkeypatch, buckets, most):
+    """The records that are large don't depend on how they are looked for."""
+    monkeypatch.setattr(records, "BUCKETS", buckets)
+    exact, found = records.large(given, most), records.large(given, most, given.select("record_id", F.lit(3).alias("n")))
+    assert (exact is None) == (found is None) == (most == 10_000)
+    assert exact is None or bag(found) == bag(exact)
+
+
+def test_small_records_are_not_counted(given):
+    """Where rows are few enough, no triple is made to see that no record is large."""
+    broken = given.withColumn("record_id", F.raise_error(F.lit("counted")).cast("string"))
+    assert records.large(broken, 10_000, given.select("record_id", F.lit(1).alias("n"))) is None
+
+
+@pytest.mark.skipif(not os.path.isdir(DIR), reason="the tables are not here")
+def test_bounds_of_tables(spark):
+    bounds = triplify.bounds(spark, DIR).groupBy("record_id").agg(F.sum("n").alias("n"))
+    have = triplify.triples(spark, DIR).groupBy("record_id").count()
+    assert have.join(bounds, "record_id", "left").where("n is null or n < count").isEmpty() and not have.isEmpty()
+
+
+@pytest.mark.skipif(not os.path.isdir(DIR), reason="the tables are not here")
+@pytest.mark.parametrize("name", ["type_extract_work", "strip_excluded", "fingerprint", "duplicate_values"])
+def test_triples_are_made_once(spark, monkeypatch, name):
+    """What is looked at beforehand are the tables' rows."""
+    plans, write = [], closure.checkpoint
+
+    def noted(df, *args):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return write(df, *args)
+
+    monkeypatch.setattr(closure, "checkpoint", noted)
+    QUERIES[name](spark, DIR)
+    assert plans and not any("Generate explode" in p for p in plans)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="the tables are not here")
+def test_partitions_are_small(spark):
+    """Of 600,000 items no task gets more than about a tenth, so that it needn't spill what it gathers."""
+    rows = triplify.triples(spark, "/root/testdata/sf0.1").where((F.col("p") == TYPE) & (F.col("o") == WORK)).groupBy(F.spark_partition_id().alias("part")).count()
+    assert rows.agg(F.max("count")).first()[0] < 3500
